@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.sampling import between, draw, shuffled
+from .ranking import ranked
 
 # Dollars per million tokens (input, output) and budgets in dollars; both are parameters of every function.
 PRICES = {"large": (2.50, 15.00), "medium": (0.50, 3.00), "small": (0.375, 2.25), "nano": (0.10, 0.625)}
@@ -94,19 +95,23 @@ def trim_single(priced: DataFrame, order: str, budget: float, least: int = 10) -
     Each step cuts to the share budget / cost * 0.97 of the rows left, as long as the cost exceeds the budget and more than
     `least` rows are left; the cost of a prefix comes from one aggregation a step, a handful of steps.
     """
-    ranked = priced.withColumn("_n", F.row_number().over(Window.orderBy(order)))
-    n, cost = ranked.agg(F.count(F.lit(1)), F.coalesce(F.sum("cost"), F.lit(0.0))).first()
+    rows = ranked(priced, order)
+    n, cost = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("cost"), F.lit(0.0))).first()
     while cost > budget and n > least:
         n = int(n * budget / cost * 0.97)
-        cost = ranked.where(F.col("_n") <= n).agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0]
-    return ranked.where(F.col("_n") <= n).drop("_n")
+        cost = rows.where(F.col("_n") <= n).agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0]
+    return rows.where(F.col("_n") <= n).drop("_n")
 
 
 def trim_mixed(priced: DataFrame, order: str, budget: float) -> DataFrame:
-    """Rows of a mixed job without every tenth, the first included, again and again until they fit the budget."""
-    rows = priced.withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1)
+    """Rows of a mixed job without every tenth, the first included, again and again until they fit the budget.
+
+    A row's number after a pass follows from its number before it, so rows are ranked once: of the numbers from 0, those
+    divisible by ten go and n becomes n - n div 10 - 1.
+    """
+    rows = ranked(priced, order).withColumn("_n", F.col("_n") - 1)
     while rows.agg(F.coalesce(F.sum("cost"), F.lit(0.0))).first()[0] > budget:
-        rows = rows.where(F.col("_n") % 10 != 0).withColumn("_n", F.row_number().over(Window.orderBy("_n")) - 1)
+        rows = rows.where(F.col("_n") % 10 != 0).withColumn("_n", F.expr("_n - _n div 10 - 1"))
     return rows.drop("_n")
 
 

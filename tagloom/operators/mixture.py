@@ -200,3 +200,32 @@ def seeded_cap(df: DataFrame, seed: int, n: int, key: str = "row_id", purpose: s
 def upsample(df: DataFrame, times: int = UPSAMPLE) -> DataFrame:
     """Every row times over, with repeat from 0."""
     return df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+
+
+def novel_names(rows: DataFrame, renames: dict[str, str]) -> DataFrame:
+    """Chat rows whose requests and targets use other names; names that renames lacks stay. The text is unchanged."""
+    table = F.create_map(*[F.lit(x) for kv in renames.items() for x in kv])
+    renamed = lambda n: F.coalesce(F.try_element_at(table, n), n)
+    user, target = F.get("messages", F.lit(1))["content"], F.get("messages", F.lit(2))["content"]
+    a = rows.withColumn("_names", X.request_names(user)).withColumn("_text", X.request_text(user))
+    a = a.withColumn("_p", S.parse(target, F.col("_names")))
+    spans = F.transform("_p.spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), renamed(s["label"]).alias("label")))
+    a = a.withColumn("_tagged", S.inject("_text", spans)["tagged"])
+    return a.withColumn("messages", X.chat(X.render_request(F.transform("_names", renamed), F.col("_text")), F.col("_tagged"))).drop("_names", "_text", "_p", "_tagged")
+
+
+def anchor_mix(parts: dict[str, tuple[DataFrame, int]], seed: int) -> DataFrame:
+    """Union of capped samples: name -> (rows with row_id, cap), in seeded order within each part."""
+    out = None
+    for name, (df, cap) in parts.items():
+        one = seeded_cap(df, seed, cap).withColumn("part", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def consistent_traces(rows: DataFrame, per_style: int, seed: int) -> DataFrame:
+    """Traces (row_id, style, commitment, answer) whose committed line equals the answer, at most per_style of each style."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("style").orderBy(draw(seed, F.col("row_id"), "trace"), "row_id")
+    return rows.where("commitment = answer").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_style).drop("_n")

@@ -253,3 +253,32 @@ def test_alias_files(tmp_path):
     assert aliases == {"E_MAIL": ["e mail", "mail"]} and removed == ["JUNK"]
     assert L.merge_aliases(aliases, {"E_MAIL": ["mail", "post"]}) == {"E_MAIL": ["e mail", "mail", "post"]}
     assert L.default_aliases(["E_MAIL"]) == {"E_MAIL": ["e mail"]}
+
+
+def test_ranking(spark):
+    from tagloom.operators.ranking import ranked
+
+    rng = random.Random(2)
+    keys = [rng.choice([None, *range(50)]) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(keys)), "id int, k int")
+    got = {r["id"]: r["_n"] for r in ranked(df, "k", ties=("id",), ranges=7).collect()}
+    order = sorted(range(500), key=lambda i: (keys[i] is not None, keys[i] or 0, i))
+    assert got == {i: n for n, i in enumerate(order, 1)}
+    assert ranked(df.limit(0), "k").count() == 0
+
+
+def test_renamed_and_capped(spark):
+    rows = chat_rows(spark, [(0, "s", "xy z", "<a>x</a>y <b>z</b>", ""), (1, "s", "q", "q", "")])
+    first = mixture.novel_names(rows, {"a": "new"}).where("row_id = 0").first()["messages"]
+    assert first[1]["content"] == "Entity types:\n- new\n- b\n\nText:\nxy z" and first[2]["content"] == "<new>x</new>y <b>z</b>"
+    mixed = mixture.anchor_mix({"x": (rows, 1), "y": (rows, 5)}, 3).groupBy("part").count().collect()
+    assert {r["part"]: r["count"] for r in mixed} == {"x": 1, "y": 2}
+    traces = spark.createDataFrame([(i, "s" if i < 6 else "t", "a", "a" if i % 2 else "b") for i in range(10)], "row_id int, style string, commitment string, answer string")
+    assert {r["style"]: r["count"] for r in mixture.consistent_traces(traces, 2, 1).groupBy("style").count().collect()} == {"s": 2, "t": 2}
+
+
+def test_verdicts(spark):
+    gold = spark.createDataFrame([(0, [{"start": 0, "end": 1, "label": "a"}, {"start": 2, "end": 3, "label": "b"}, {"start": 4, "end": 5, "label": "c"}]), (1, [])], f"row_id int, spans {SPANS}")
+    answers = spark.createDataFrame([(0, '{"verdicts":[{"i":0,"v":"ok"},{"i":1,"v":"wrong_label","fix":"z"},{"i":2,"v":"not_entity"}]}')], "row_id int, answer string")
+    got = {r["row_id"]: [(s["start"], s["label"]) for s in r["spans"]] for r in jobs.apply_verdicts(gold, jobs.parse_verdicts(answers)).collect()}
+    assert got == {0: [(0, "a"), (2, "z")], 1: []}
