@@ -211,7 +211,7 @@ def _measure(members: pa.Table, pivots: pa.Table, percent: int) -> pa.Table:
     size = np.array([len(s) for s in sets])
     flat, start = np.concatenate(sets), np.concatenate(([0], np.cumsum(size)[:-1]))
     a, b = [], []
-    for node, raw in zip(pivots.column("node").to_pylist(), pivots.column("grams").to_pylist(), strict=True):
+    for node, raw in zip(pivots.column("p_node").to_pylist(), pivots.column("p_grams").to_pylist(), strict=True):
         s = np.frombuffer(raw, np.uint64)
         both = _overlaps(flat, start, s)
         hit = nodes[100 * both >= percent * (size + len(s) - both)]
@@ -239,7 +239,8 @@ def _large_regions(members: DataFrame, percent: int, part: int, pivots: int) ->
         sets = members.join(pick, ["region", "node"], "left_semi").select("region", "node", "grams", "members")
         spread = sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("members") / part), F.lit(1)).cast("int") - 1)))
         here = members.join(regions, "region", "left_semi").join(open_.select("region", "node"), ["region", "node"], "left_semi")
-        found = here.select("region", "salt", "node", "grams").groupBy("region", "salt").cogroup(spread.select("region", "salt", "node", "grams").groupBy("region", "salt")).applyInArrow(lambda m, p: _measure(m, p, percent), "a bigint, b bigint")
+        spread = spread.select(F.col("region").alias("p_region"), F.col("salt").alias("p_salt"), F.col("node").alias("p_node"), F.col("grams").alias("p_grams"))
+        found = here.select("region", "salt", "node", "grams").groupBy("region", "salt").cogroup(spread.groupBy("p_region", "p_salt")).applyInArrow(lambda m, p: _measure(m, p, percent), "a bigint, b bigint")
         found = cut(found)
         links = found if links is None else links.union(found)
         merged = components(links)
