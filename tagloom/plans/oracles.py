@@ -11,6 +11,10 @@ SEED = 7
 NAMES = [x.replace("_", " ") for x in L.RULE_LABELS]
 
 
+#: The small vocabulary of the decoding queries: single characters and a few pieces.
+VOCAB = [*"abcdefghijklmnopqrstuvwxyz0123456789.<>/ _@ABCDEFGHIJKLMNOPQRSTUVWXYZ", "em", "ema", "<e", "<email>", "</", "</email>", " <", "th", "The", "on", "an", "a ", "an ", "er", "src"]
+
+
 def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -115,23 +119,44 @@ def picked(seed: int, row: str, request: str, text: str) -> str:
     return f"list_transform({request}, lambda x: coalesce(({free})[({draw(seed, row, 'alias', 'x')} % greatest(len({free}), 1) + 1)::INTEGER], '?'))"
 
 
-def _mixture_v1() -> str:
-    """Names, lines and spans of emitted rows, rendered; texts of the driver tables hold no tags and spans do not overlap."""
-    seed = mixture.SEED_V1
-    return f"""WITH RECURSIVE {plan(1)},
- n AS (SELECT k.doc_id, k.source, d.text, request, target, {picked(seed, 'k.doc_id', 'request', 'd.text')} AS names FROM k JOIN documents d USING (doc_id)),
+def _mixture(version: int) -> str:
+    """CTEs up to w (kept rows, negative flags), tg (tagged bodies) and n (names of each request)."""
+    seed, cap = (mixture.SEED_V1, 0.1) if version == 1 else (mixture.SEED_V2, 0.08)
+    birth = "k.bucket = 'subset' AND list_contains(present, 'date_of_birth') AND NOT list_contains(target, 'date_of_birth') AND list_contains(target, 'date')" if version == 2 else "FALSE"
+    rules = " ".join(f"WHEN {q(label)} THEN {q(rule)}" for label, rule in L.RULES.items())
+    guided = f"list_transform(names, lambda y, i: CASE WHEN {uniform(seed, 'doc_id', 'guided')} < 0.3 THEN y || coalesce(': ' || CASE request[i] {rules} END, '') ELSE y END)"
+    lines = guided if version == 2 else "names"
+    keep = f"NOT negative OR w.k + 1 <= greatest(20, {cap} * (w.emitted + 1))"
+    return f"""WITH RECURSIVE {plan(version)},
+ n0 AS (SELECT k.doc_id, k.source, d.text, request, target, {birth} AS birth, {picked(seed, 'k.doc_id', 'request', 'd.text')} AS names FROM k JOIN documents d USING (doc_id)),
+ n AS (SELECT *, {lines} AS lines FROM n0),
  neg AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS o, len(target) = 0 AS negative FROM n),
- w AS (SELECT source, o, doc_id, negative::INTEGER AS k, TRUE AS kept, 1 AS emitted FROM neg WHERE o = 1
-       UNION ALL SELECT neg.source, neg.o, neg.doc_id, w.k + negative::INTEGER, NOT negative OR w.k + 1 <= greatest(20, 0.1 * (w.emitted + 1)), w.emitted + (NOT negative OR w.k + 1 <= greatest(20, 0.1 * (w.emitted + 1)))::INTEGER
+ w AS (SELECT source, o, doc_id, negative, negative::INTEGER AS k, TRUE AS kept, 1 AS emitted FROM neg WHERE o = 1
+       UNION ALL SELECT neg.source, neg.o, neg.doc_id, neg.negative, w.k + neg.negative::INTEGER, {keep.replace('negative', 'neg.negative')}, w.emitted + ({keep.replace('negative', 'neg.negative')})::INTEGER
        FROM w JOIN neg ON neg.source = w.source AND neg.o = w.o + 1),
- sl AS (SELECT sp.doc_id, sp.b, sp.e, n.names[list_position(n.request, sp.label)] AS name FROM sp JOIN n USING (doc_id) WHERE list_contains(n.target, sp.label)),
+ rl AS (SELECT sp.doc_id, sp.b, sp.e, CASE WHEN n.birth AND sp.label = 'date_of_birth' THEN 'date' ELSE sp.label END AS label, n.request, n.names, n.target FROM sp JOIN n USING (doc_id)),
+ sl AS (SELECT doc_id, b, e, names[list_position(request, label)] AS name FROM rl WHERE list_contains(target, label)),
  pc AS (SELECT sl.doc_id, b, d.text[lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) + 1:b] || '<' || name || '>' || d.text[b + 1:e] || '</' || name || '>' AS piece, e FROM sl JOIN documents d USING (doc_id)),
- tg AS (SELECT doc_id, string_agg(piece, '' ORDER BY b) AS t, max(e) AS last FROM pc GROUP BY doc_id)
- SELECT n.doc_id AS row_id, n.source, md5({q(X.REQUEST_HEAD)} || array_to_string(list_transform({shuffled(seed, 'n.doc_id', 'line', 'names')}, lambda y: '- ' || y), chr(10)) || {q(X.REQUEST_TEXT)} || text) AS user_md5,
+ tg AS (SELECT doc_id, string_agg(piece, '' ORDER BY b) AS t, max(e) AS last FROM pc GROUP BY doc_id)"""
+
+
+def _examples(version: int) -> str:
+    """Rendered examples; texts of the driver tables hold no tags and their spans do not overlap, so only the cap drops rows."""
+    seed = mixture.SEED_V1 if version == 1 else mixture.SEED_V2
+    return f"""{_mixture(version)}
+ SELECT n.doc_id AS row_id, n.source, md5({q(X.REQUEST_HEAD)} || array_to_string(list_transform({shuffled(seed, 'n.doc_id', 'line', 'lines')}, lambda y: '- ' || y), chr(10)) || {q(X.REQUEST_TEXT)} || text) AS user_md5,
         md5(coalesce(t, '') || substr(text, coalesce(last, 0) + 1)) AS assistant_md5
  FROM n JOIN w USING (doc_id) LEFT JOIN tg USING (doc_id) WHERE kept"""
 
 
+def _synthesis(families: list[tuple[str, str, int, str]], seed: int = 20260718) -> str:
+    rows = " UNION ALL ".join(f"SELECT {q(tag)} AS tag, {q(model)} AS model, {q(brief)} AS brief, i FROM range({count}) t(i)" for tag, model, count, brief in families)
+    picked_labels = f"({shuffled(seed, 'key', 'label', arr(L.VOCABULARY))})[1:{between(seed, 'key', 'labels', 4, '8')}]"
+    return f"""WITH f AS ({rows}), g AS (SELECT *, tag || '-' || i AS key FROM f)
+        SELECT printf('D-%s-%04d', tag, i) AS custom_id, model, md5(brief || 'Wrap every entity matching these types in XML tags using exactly these tag names: ' || array_to_string(list_transform({picked_labels}, lambda y: replace(y, '_', ' ')), ', ')
+               || '. Seed: ' || ({draw(seed, 'key', 'seed')} % 1000000001)) AS user_md5 FROM g"""
+
+
 def _plan_query(version: int) -> str:
     birth = "(bucket = 'subset' AND list_contains(present, 'date_of_birth') AND NOT list_contains(target, 'date_of_birth') AND list_contains(target, 'date'))" if version == 2 else "FALSE"
     j = lambda c: f"array_to_string({c}, ',') AS {c}"
@@ -217,7 +242,26 @@ ORACLES = {
               UNION ALL SELECT neg.source, neg.o, neg.doc_id, w.k + negative::INTEGER, NOT negative OR w.k + 1 <= greatest(5, 0.1 * (w.emitted + 1)),
               w.emitted + (emits AND (NOT negative OR w.k + 1 <= greatest(5, 0.1 * (w.emitted + 1))))::INTEGER FROM w JOIN neg ON neg.source = w.source AND neg.o = w.o + 1)
         SELECT doc_id AS row_id, kept FROM w""",
-    "mixture_v1": _mixture_v1(),
+    "mixture_v1": _examples(1),
+    "mixture_v2": _examples(2),
+    "mixture_stats": f"""{_mixture(1)} SELECT source, count(*) FILTER (WHERE kept) AS rows, 0::BIGINT AS skip_overlap, 0::BIGINT AS skip_alias, count(*) FILTER (WHERE negative) AS neg_rows,
+        count(*) FILTER (WHERE NOT kept) AS neg_dropped, 0::BIGINT AS relabeled_subset FROM w GROUP BY source""",
+    "emitted_limit": f"{_mixture(1)} SELECT doc_id AS row_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM w WHERE kept) WHERE n <= 3",
+    "job_audit": f"""WITH {SPARSE}, pc AS (SELECT sp.doc_id, b, d.text[lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) + 1:b] || '<' || label || '>' || sp.body || '</' || label || '>' AS piece, e FROM sp JOIN documents d USING (doc_id)),
+        tg AS (SELECT doc_id, string_agg(piece, '' ORDER BY b) AS t, max(e) AS last FROM pc GROUP BY doc_id),
+        tx AS (SELECT d.doc_id, coalesce(t, '') || substr(text, coalesce(last, 0) + 1) AS t FROM documents d LEFT JOIN tg USING (doc_id)),
+        o AS (SELECT doc_id, t, row_number() OVER (ORDER BY {draw(20260718, 'doc_id', 'audit')}, doc_id) - 1 AS n FROM tx WHERE regexp_matches(t, {q(jobs.AUDIT_TARGETS)}) AND length(t) <= {jobs.AUDIT_CHARS})
+        SELECT doc_id AS row_id, printf('B-%05d', n) AS custom_id, md5(t) AS user_md5 FROM o WHERE n < 40""",
+    "job_synthesis": _synthesis([("dlog", "nano", 110, "Write a log. "), ("form", "small", 70, "Write a form. "), ("prose", "small", 70, "Write prose. ")]),
+    "automaton_state": """WITH s AS (SELECT doc_id, substr(text, 1, 30) AS src, substr(text, 1, 10) AS h FROM documents)
+        SELECT doc_id AS row_id, (CASE WHEN doc_id % 5 = 3 THEN length(src) WHEN doc_id % 5 = 4 AND substr(src, length(h) + 1, 1) = '#' THEN length(h) + 1 ELSE length(h) END)::INTEGER AS copy_pos,
+               CASE WHEN doc_id % 5 = 1 THEN 'email' END AS open_tag, (CASE WHEN doc_id % 5 = 1 THEN length(h) ELSE 0 END)::INTEGER AS open_pos,
+               CASE WHEN doc_id % 5 = 2 THEN '<na' ELSE '' END AS pending, doc_id % 5 <> 4 OR substr(src, length(h) + 1, 1) = '#' AS valid FROM s""",
+    "prefix_tokens": "WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(t)})" for i, t in enumerate(VOCAB)) + ") t(id, token)) SELECT doc_id, count(*) AS n, sum(id)::BIGINT AS ids FROM documents JOIN v ON starts_with(text, token) GROUP BY doc_id",
+    "tag_requests": f"""WITH {HITS}, x AS (SELECT doc_id, sum(2 * length(label) + 5) AS more FROM s WHERE label IN ('email', 'phone_number') GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'need text and at least one entity type' END AS error, 'email,phone number' AS names, CASE WHEN doc_id % 10 <> 0 THEN TRUE END AS faithful,
+               CASE WHEN doc_id % 10 <> 0 THEN length(text) + coalesce(more, 0) END::BIGINT AS n_chars FROM documents LEFT JOIN x USING (doc_id)""",
+    "literal_spans": f"WITH {HITS} SELECT d.doc_id AS row_id, coalesce(n, 0)::BIGINT AS n_spans, TRUE AS same FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id) USING (doc_id)",
     "job_adjudicate": f"WITH {ADJ} SELECT row_id, printf('A-%03d', row_id) AS custom_id, 'large' AS model, 700::INTEGER AS max_tokens, md5(u) AS user_md5 FROM adj WHERE row_id < {jobs.ADJUDICATED}",
     "job_aliases": "SELECT * FROM (VALUES " + ", ".join(f"({q('C-default-' + s)}, 'Entity type: ' || {q(s)} || chr(10) || 'Existing names: [' || {q(', '.join(chr(39) + a + chr(39) for a in forms))} || ']' || chr(10) || 'Description context: PII detection.')" for s, forms in L.ALIASES.items()) + ') t(custom_id, "user")',
     "usage_totals": "SELECT 'm' || (doc_id % 3) AS model, count(*) AS n, count(*) FILTER (WHERE doc_id % 17 = 0) AS failures, sum(n_chars) FILTER (WHERE doc_id % 17 <> 0)::BIGINT AS prompt_tokens, sum(n_chars % 97) FILTER (WHERE doc_id % 17 <> 0)::BIGINT AS completion_tokens FROM documents GROUP BY 1",
