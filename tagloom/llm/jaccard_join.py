@@ -13,7 +13,7 @@ every document into every region. The join therefore starts from regions that no
    whose pivot is at most twice the distance threshold further than its nearest, and no link can then be
    missed. Where the windows hold everything, pivots are settled one by one and the
    triangle inequality skips pairs whose distances to a settled pivot differ by more than the threshold.
-4. A region over max_region members, such as a hot group of near copies, is not gathered: rounds of
+4. A region whose sets exceed max_region_bytes, such as a hot group of near copies, is not gathered: rounds of
    pivots are measured against salted parts of it, links to pivots merge components, settled pivots leave,
    and the region is done when its open members are one component.
 
@@ -210,25 +210,41 @@ def _measure(members: pa.Table, pivots: pa.Table, percent: int) -> pa.Table:
     sets = [np.frombuffer(x, np.uint64) for x in members.column("grams").to_pylist()]
     size = np.array([len(s) for s in sets])
     flat, start = np.concatenate(sets), np.concatenate(([0], np.cumsum(size)[:-1]))
+    # of the links found here only those are passed on that join two components of this part
+    place = {}
+    for node in [*nodes.tolist(), *pivots.column("p_node").to_pylist()]:
+        place.setdefault(node, len(place))
+    parent = list(range(len(place)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
     a, b = [], []
     for node, raw in zip(pivots.column("p_node").to_pylist(), pivots.column("p_grams").to_pylist(), strict=True):
         s = np.frombuffer(raw, np.uint64)
         both = _overlaps(flat, start, s)
-        hit = nodes[100 * both >= percent * (size + len(s) - both)]
-        a += hit.tolist()
-        b += [node] * len(hit)
+        for other in nodes[100 * both >= percent * (size + len(s) - both)].tolist():
+            x, y = find(place[node]), find(place[other])
+            if x != y:
+                parent[x] = y
+                a.append(other)
+                b.append(node)
     return table("a bigint, b bigint", a=a, b=b)
 
 
-def _large_regions(members: DataFrame, percent: int, part: int, pivots: int) -> DataFrame:
-    """Links of regions too large for one task (columns region, node, grams), by rounds of pivots."""
+def _large_regions(members: DataFrame, percent: int, part_bytes: int, pivots: int) -> DataFrame:
+    """Links of regions too large for one task (columns region, node, grams, bytes), by rounds of pivots."""
     links = None
-    members = cut(members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.greatest(F.ceil(F.col("members") / part), F.lit(1)).cast("bigint")).cast("int")))
+    parts = F.greatest(F.ceil(F.col("bytes") / part_bytes), F.lit(1)).cast("int")
+    members = cut(members.withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.col("parts").cast("bigint")).cast("int")))
     open_ = members.select("region", "node", F.col("node").alias("component"))
     turn = 0
     while True:
         per = open_.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
-        main = per.groupBy("region").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        main = per.groupBy("region").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
         # minorities first; while all are single any member will do
         minor = open_.join(main, "region").where("component <> main")
         pick = minor.groupBy("region", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots)).alias("slot")).agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
@@ -236,20 +252,22 @@ def _large_regions(members: DataFrame, percent: int, part: int, pivots: int) ->
         if pick.limit(1).count() == 0:
             return links
         regions = pick.select("region").distinct()
-        sets = members.join(pick, ["region", "node"], "left_semi").select("region", "node", "grams", "members")
-        spread = sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("members") / part), F.lit(1)).cast("int") - 1)))
+        sets = members.join(pick, ["region", "node"], "left_semi")
+        spread = sets.select(F.col("region").alias("p_region"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p_salt"), F.col("node").alias("p_node"), F.col("grams").alias("p_grams"))
         here = members.join(regions, "region", "left_semi").join(open_.select("region", "node"), ["region", "node"], "left_semi")
-        spread = spread.select(F.col("region").alias("p_region"), F.col("salt").alias("p_salt"), F.col("node").alias("p_node"), F.col("grams").alias("p_grams"))
         found = here.select("region", "salt", "node", "grams").groupBy("region", "salt").cogroup(spread.groupBy("p_region", "p_salt")).applyInArrow(lambda m, p: _measure(m, p, percent), "a bigint, b bigint")
         found = cut(found)
         links = found if links is None else links.union(found)
-        merged = components(links)
-        open_ = open_.join(pick, ["region", "node"], "left_anti").select("region", "node").join(merged, "node", "left")
-        open_ = cut(open_.select("region", "node", F.coalesce("component", "node").alias("component")))
+        # only links between components found so far can change anything
+        label = lambda end: open_.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        between = found.join(label("a"), "a").join(label("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        merged = components(between).withColumnRenamed("component", "wider")
+        rest = open_.join(pick, ["region", "node"], "left_anti").join(merged.withColumnRenamed("node", "component"), "component", "left")
+        open_ = cut(rest.select("region", "node", F.coalesce("wider", "component").alias("component")))
         turn += 1
 
 
-def link_documents(docs: DataFrame, n: int = 5, percent: int = 75, max_region: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_documents(docs: DataFrame, n: int = 5, percent: int = 75, max_region_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Connected components of documents whose n-word shingle sets have at least percent % Jaccard similarity.
 
     Returns id_col, n_shingles, component_id (smallest id reachable by links, itself included). Null texts
@@ -275,13 +293,14 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 75, max_region: i
     hubs = cell.groupBy("cell").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("cell", "hub")
     star = cell.join(hubs, "cell").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     regions = components(star).withColumnRenamed("component", "region")
-    sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
-    members = cut(some.select("node", "grams").join(regions, "node").join(sizes, "region"))
-    small = members.where(F.col("members") <= max_region)
+    tied = cut(some.select("node", "grams").join(regions, "node"))
+    sizes = tied.groupBy("region").agg(F.sum(F.length("grams")).alias("bytes"))
+    members = tied.join(sizes, "region")
+    small = members.where(F.col("bytes") <= max_region_bytes)
     links = small.select("region", "node", "grams").groupBy("region").applyInArrow(lambda t: _join_region(t, percent), "a bigint, b bigint")
-    large = members.where(F.col("members") > max_region)
-    if large.limit(1).count():
-        links = links.union(_large_regions(large, percent, max_region, 128))
+    large = members.where(F.col("bytes") > max_region_bytes)
+    if sizes.where(F.col("bytes") > max_region_bytes).limit(1).count():
+        links = links.union(_large_regions(large, percent, max_region_bytes, 128))
     linked = components(links)
     # rows with equal ids are one document: a node's classes meet in its id
     own = sets.where("doc_id is not null").join(classes, "cls", "left").join(linked, "node", "left").select("doc_id", "n", F.coalesce("component", "node", "doc_id").alias("component_id"))

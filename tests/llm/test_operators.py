@@ -392,11 +392,11 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("most", [1500, 10, 2])
+@pytest.mark.parametrize("most", [16_000_000, 6000])
 def test_large_regions(spark, most):
     rows = near_copies()
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = jaccard_join.link_documents(df, max_region=most)
+    got = jaccard_join.link_documents(df, max_region_bytes=most)
     assert by(tuple(r) for r in got.collect()) == brute.components(rows)
 
 
