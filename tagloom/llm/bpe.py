@@ -6,8 +6,10 @@ rank by binary search over the sorted keys of the merge table, takes the lowest
 word, and merges all its occurrences from left to right, for all words at once. Rounds end when
 no word has a known pair; a word costs as many rounds as it has distinct merges.
 
-Text is split at ASCII white space first, which the tokenizer's own pattern never crosses, and
-each distinct chunk is normalised, split and encoded once per task while it is in a bounded table.
+Text is split at ASCII white space first, which the tokenizer's own pattern never crosses. A worker keeps the
+results of distinct chunks in a bounded table of two generations: when the young one is full it becomes
+the old one, and chunks that are met again move back. Chunks are normalised and split into words, and each
+distinct word of a batch is merged once.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, spans_by_bytes, utf8
 
-TABLE_LIMIT = 300_000
+#: Chunks in each of the two generations of a worker's table.
+TABLE_LIMIT = 150_000
+_SPACE = regex.compile(r"\p{White_Space}+")
 
 
 def byte_letters() -> list[str]:
@@ -57,19 +61,26 @@ class WordBpe:
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks = key[order], order
         self.merged = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
+        self.decimal = {i: str(i) for i in self.tokens}
         self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.size: dict[bytes, int] = {}
-        self.ids: dict[bytes, bytes] = {}
-        self.text: dict[bytes, bytes] = {}
+        self.young: dict[bytes, tuple[int, bytes, bytes]] = {}  # chunk: number of ids, ids as text, decoded text
+        self.old: dict[bytes, tuple[int, bytes, bytes]] = {}
 
     def normalise(self, chunk: str) -> str:
         """NFC, runs of white space to one space, lower case character by character."""
-        chunk = regex.sub(r"[\p{White_Space}]+", " ", unicodedata.normalize("NFC", chunk))
+        if chunk.isascii():
+            return chunk.lower()  # chunks hold no ASCII white space
+        chunk = _SPACE.sub(" ", unicodedata.normalize("NFC", chunk))
         return chunk.lower() if "Σ" not in chunk else "".join(c.lower() for c in chunk)
 
+    def words_of(self, chunk: str) -> list[str]:
+        """The words that the tokenizer's pattern finds in a normalised chunk."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+            return [chunk[:-1], chunk[-1]]
+        return self.word.findall(chunk)
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words in one flat array, and the first position of each word in it."""
         n = np.fromiter(map(len, words), np.int64, len(words))
@@ -112,43 +123,56 @@ class WordBpe:
         """Encode distinct chunks that the table lacks."""
         for at in range(0, len(chunks), 20_000):
             part = chunks[at : at + 20_000]
-            words, parts = [], []  # words of all chunks; for each chunk: word numbers or special ids
+            number: dict[str, int] = {}  # of each distinct word
+            parts = []  # for each chunk: word numbers, or special ids below zero
             for c in part:
                 items = []
-                for k, piece in enumerate(self.special_split.split(c.decode()) if self.special_split else [c.decode()]):
+                for k, piece in enumerate(self.special_split.split(c.decode()) if self.special and b"<" in c else (c.decode(),)):
                     if k % 2:
                         items.append(-1 - self.special[piece])
                     elif piece:
-                        for w in self.word.findall(self.normalise(piece)):
-                            items.append(len(words))
-                            words.append(w.encode())
+                        for w in self.words_of(self.normalise(piece)):
+                            items.append(number.setdefault(w, len(number)))
                 parts.append(items)
+            words = [w.encode() for w in number]
             sym, start = self.merge(words) if words else (np.zeros(0, np.int64), np.zeros(1, np.int64))
             flat, start = sym.tolist(), start.tolist()
+            spelt = []
+            for k in range(len(words)):
+                ids = flat[start[k] : start[k + 1]]
+                spelt.append((len(ids), " ".join([self.decimal[i] for i in ids]).encode(), " ".join([self.tokens[i] for i in ids]).encode()))
             for c, items in zip(part, parts, strict=True):
-                ids = []
-                for x in items:
-                    ids += flat[start[x] : start[x + 1]] if x >= 0 else [-1 - x]
-                self.size[c] = len(ids)
-                self.ids[c] = " ".join(map(str, ids)).encode()
-                self.text[c] = " ".join(self.tokens[i] for i in ids).encode()
+                rows = [spelt[x] if x >= 0 else (1, self.decimal[-1 - x].encode(), self.tokens[-1 - x].encode()) for x in items]
+                self.young[c] = rows[0] if len(rows) == 1 else (sum(r[0] for r in rows), b" ".join([r[1] for r in rows]), b" ".join([r[2] for r in rows]))
 
     def encode(self, texts: list[bytes | None]) -> list[tuple[int, bytes, bytes]]:
         """Of each text: number of ids, decimal ids joined by spaces, decoded text."""
         out = []
         for at, end in spans_by_bytes(texts):
             split = [(t or b"").split() for t in texts[at:end]]
-            if len(self.size) > self.limit:
-                self.clear()
-            self.learn(list({w for ws in split for w in ws if w not in self.size}))
+            if len(self.young) > self.limit:
+                self.old, self.young = self.young, {}
+            need = set().union(*split).difference(self.young)
+            again = [c for c in need if c in self.old]
+            self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            self.learn(list(need.difference(again)))
+            known = self.young
             for ws in split:
-                n = sum(map(self.size.__getitem__, ws))
-                ids = b" ".join(filter(None, map(self.ids.__getitem__, ws)))
-                decoded = b" ".join(filter(None, map(self.text.__getitem__, ws)))
-                out.append((n, ids, decoded))
+                rows = [r for r in map(known.__getitem__, ws) if r[0]]
+                out.append((sum([r[0] for r in rows]), b" ".join([r[1] for r in rows]), b" ".join([r[2] for r in rows])))
         return out
 
 
+_encoders: dict[str, WordBpe] = {}
+
+
+def encoder(file: str) -> WordBpe:
+    """The worker's encoder of a file; its table serves all tasks of the worker."""
+    if file not in _encoders:
+        _encoders[file] = WordBpe(file)
+    return _encoders[file]
+
+
 def bpe_round_trip(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, then decode the ids.
 
@@ -168,13 +192,10 @@ def bpe_digests(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: st
 
 
 def _mapped(docs, file, id_col, text_col, columns, shape) -> DataFrame:
-    state: dict[str, WordBpe] = {}
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batch):
-        if not state:
-            state["bpe"] = WordBpe(file)
-        rows = [shape(*r) for r in state["bpe"].encode(utf8(batch.column(1)))]
+        rows = [shape(*r) for r in encoder(file).encode(utf8(batch.column(1)))]
         return {"id": batch.column(0)} | {name: list(c) for name, c in zip(names, zip(*rows, strict=True), strict=True)}
 
     kind = docs.schema[id_col].dataType.simpleString()
