@@ -21,6 +21,7 @@ from .common import SPACE, cut, native_words
 #: zero in nearly all documents must not make a single symbol an outlier.
 RIDGE = (0.02, 0.02, 0.02, 0.02)
 VECTOR = ("x0", "x1", "x2", "x3")
+MOST_BROADCAST = 50_000
 
 
 def base_statistics(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
@@ -72,8 +73,14 @@ def _factor(groups: DataFrame) -> DataFrame:
     return groups
 
 
+def _small(groups: DataFrame) -> DataFrame:
+    """Checkpoints a table of one row per group, and broadcasts it if it is as small as it should be; else Spark picks the join."""
+    groups = cut(groups)
+    return F.broadcast(groups) if groups.count() <= MOST_BROADCAST else groups
+
+
 def _with_distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Adds _d2. groups has one row per language and source; Spark sees its size and picks the join."""
+    """Adds _d2. groups has one row per language and source."""
     out = rows.join(groups, ["_g"], "left")
     for i in range(len(VECTOR)):
         out = out.withColumn(f"_y{i}", reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"_y{k}"), range(i), F.col(VECTOR[i]) - F.col(f"m{i}")) / F.col(f"l{i}{i}"))
@@ -91,7 +98,7 @@ def _estimate(rows: DataFrame) -> DataFrame:
 
 def _start(rows: DataFrame) -> DataFrame:
     """Medians, and squared scaled absolute deviations from them as a diagonal covariance."""
-    med = rows.groupBy("_g").agg(*[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(VECTOR)])
+    med = _small(rows.groupBy("_g").agg(*[F.percentile_approx(x, 0.5).alias(f"m{i}") for i, x in enumerate(VECTOR)]))
     dev = rows.join(med, ["_g"]).groupBy("_g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(4)], *[F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i, x in enumerate(VECTOR)])
     low = [(F.sqrt(F.pow(F.lit(1.4826) * F.col(f"a{i}"), 2) + F.lit(RIDGE[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(4) for j in range(i + 1)]
     return dev.select("_g", *[f"m{i}" for i in range(4)], *low)
@@ -115,15 +122,15 @@ def quality_verdicts(docs: DataFrame, cutoff: float = 40.0, coverage: float = 0.
     stats = cut(stats.select("*", *[x.alias(name) for x, name in zip(_vector(), VECTOR, strict=True)], F.to_json(F.struct("_lang", "_source"), {"ignoreNullFields": "false"}).alias("_own")).drop("_lang", "_source"))
     passed = stats.where(~F.col("base_failed"))
     sizes = passed.groupBy("_own").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least_group).select("_own")
-    sizes = cut(sizes.withColumn("_g", F.col("_own")))
+    sizes = _small(sizes.withColumn("_g", F.col("_own")))
     rows = stats.join(sizes, ["_own"], "left").drop("_own")
     # every passing row also counts in the group of all rows, whose key no language and source can have
     members = rows.where(~F.col("base_failed")).select(F.explode(F.array_compact(F.array(F.col("_g"), F.lit("all")))).alias("_g"), *VECTOR)
-    groups = cut(_start(members))
+    groups = _small(_start(members))
     for _ in range(steps):
         near = _with_distance(members, groups)
-        limit = near.groupBy("_g").agg(F.percentile_approx("_d2", coverage, 10000).alias("_limit"))
-        groups = cut(_estimate(near.join(limit, ["_g"]).where(F.col("_d2") <= F.col("_limit"))))
+        limit = _small(near.groupBy("_g").agg(F.percentile_approx("_d2", coverage, 10000).alias("_limit")))
+        groups = _small(_estimate(near.join(limit, ["_g"]).where(F.col("_d2") <= F.col("_limit"))))
     out = _with_distance(rows.withColumn("_g", F.coalesce("_g", F.lit("all"))), groups)
     return out.select(
         *[F.col(f"_row.c{k}").alias(c) for k, c in enumerate(carry)], F.col("_row.id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
