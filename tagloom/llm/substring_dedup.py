@@ -15,6 +15,8 @@ buckets, shards and answers all have bounded size. A bucket is read three times;
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +26,7 @@ from .common import bucket_count, hash_bucket, table, text_volume, utf8
 from .shards import BLOCK, B, block_count, cells, grams, pack, split_bounds, word_hashes
 
 WINDOW = 13
-_NONE = np.int64(np.iinfo(np.int64).max)
+_LAST = int(np.iinfo(np.int64).max)
 _ASK = "shard int, bucket int, n binary, a binary, b binary"
 _SEND = "shard int, bucket int, h binary, g binary, d binary"
 _ANSWER = "bucket int, shard int, bits binary"
@@ -36,9 +38,11 @@ class _Bucket:
     """Window hashes of the documents of one bucket."""
 
     def __init__(self, docs: pa.Table, window: int):
-        self.ids = docs.column("doc_id").to_numpy(zero_copy_only=False) if docs.column("doc_id").null_count == 0 else np.array([_NONE if x is None else x for x in docs.column("doc_id").to_pylist()], np.int64)
-        self.texts = utf8(docs.column("text"))
-        self.window = window
+        ids = docs.column("doc_id").to_pylist()
+        texts = utf8(docs.column("text"))
+        self.order = sorted(range(len(ids)), key=lambda k: _LAST if ids[k] is None else ids[k])
+        self.ids = np.array([_LAST if ids[k] is None else ids[k] for k in self.order], np.int64)
+        self.texts = [texts[k] for k in self.order]
         first, second, self.n_words, start = [], [], [], [0]
         for t in self.texts:
             h = word_hashes((t or b"").split())
@@ -48,14 +52,17 @@ class _Bucket:
             second.append((grams(h, window, B) >> np.uint64(32)).astype(np.uint32))
             start.append(start[-1] + len(g))
         self.start = np.array(start)
-        self.h = np.concatenate(first) if first else np.zeros(0, np.uint64)
+        h = np.concatenate(first) if first else np.zeros(0, np.uint64)
         g = np.concatenate(second) if second else np.zeros(0, np.uint32)
         doc = np.repeat(self.ids, np.diff(self.start)) if len(self.ids) else np.zeros(0, np.int64)
-        # each distinct window once, with the smallest doc_id that has it
-        order = np.lexsort((doc, self.h))
-        hs = self.h[order]
+        # documents are in ascending order, so the first of equal windows has the smallest doc_id
+        by_hash = np.argsort(h, kind="stable")
+        hs = h[by_hash]
         one = np.append(True, hs[1:] != hs[:-1]) if len(hs) else np.zeros(0, bool)
-        self.u, self.g, self.least = hs[one], g[order][one], doc[order][one]
+        self.u, self.g, self.least = hs[one], g[by_hash][one], doc[by_hash][one]
+        self.doc = doc
+        self.number = np.empty(len(h), np.int64)  # of each window among the distinct ones
+        self.number[by_hash] = np.cumsum(one) - 1
 
 
 def _ask(docs: pa.Table, shards: int, blocks: int, window: int) -> pa.Table:
@@ -126,29 +133,22 @@ def _remove(docs: pa.Table, answer: pa.Table, window: int, schema: str) -> pa.Ta
         return table(schema, doc_id=[], n_words=[], n_removed=[], kept_text=[], carry=[])
     b = _Bucket(docs, window)
     elsewhere = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in answer.column("bits").to_pylist())]))
-    removed, kept = [], []
+    late = np.zeros(len(b.u), bool)
+    late[np.searchsorted(b.u, elsewhere)] = True  # every one of them is a window of this bucket
+    flag = (b.least[b.number] < b.doc) | late[b.number]
+    removed, kept = [0] * len(b.texts), [b""] * len(b.texts)
     for k, text in enumerate(b.texts):
         words = (text or b"").split()
-        h = b.h[b.start[k] : b.start[k + 1]]
-        if len(h) == 0:
-            removed.append(0)
-            kept.append(b" ".join(words))
-            continue
-        flag = b.least[np.searchsorted(b.u, h)] < b.ids[k]
-        if len(elsewhere):
-            flag |= elsewhere[np.minimum(np.searchsorted(elsewhere, h), len(elsewhere) - 1)] == h
-        if not flag.any():
-            removed.append(0)
-            kept.append(b" ".join(words))
-            continue
-        edge = np.zeros(len(words) + 1, np.int64)
-        at = np.flatnonzero(flag)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + window, -1)
-        covered = np.cumsum(edge[:-1]) > 0
-        removed.append(int(covered.sum()))
-        kept.append(b" ".join(w for w, c in zip(words, covered.tolist(), strict=True) if not c))
-    return table(schema, doc_id=docs.column("doc_id").combine_chunks(), n_words=b.n_words, n_removed=removed, kept_text=pa.array(kept, pa.binary()).cast(pa.string()), carry=docs.column("carry").combine_chunks())
+        at = np.flatnonzero(flag[b.start[k] : b.start[k + 1]])
+        if len(at):
+            edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + window, minlength=len(words) + 1)
+            covered = np.cumsum(edge[:-1]) > 0
+            removed[k] = int(covered.sum())
+            words = list(compress(words, (~covered).tolist()))
+        kept[k] = b" ".join(words)
+    carry = docs.column("carry").to_pylist()
+    ids = docs.column("doc_id").to_pylist()
+    return table(schema, doc_id=[ids[k] for k in b.order], n_words=b.n_words, n_removed=removed, kept_text=pa.array(kept, pa.binary()).cast(pa.string()), carry=[carry[k] for k in b.order])
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
