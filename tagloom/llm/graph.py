@@ -15,8 +15,9 @@ def components(edges: DataFrame) -> DataFrame:
     the number of rounds grows with the logarithm of a path's length in practice. Rounds are
     checkpointed. Null ends, loops and repeated edges are harmless; no edges give no rows.
     """
-    both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = cut(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    # both directions come from one evaluation: edges may be computed from groups whose rows arrive in any order
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(edges.where("a is not null and b is not null and a <> b").select(F.explode(ends).alias("e")).select("e.a", "e.b").distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         heard = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("m"))

@@ -195,11 +195,14 @@ class Region:
 
 
 def _join_region(members: pa.Table, percent: int) -> pa.Table:
+    """Each member and the smallest node of its component; the same whatever the order of the rows."""
     nodes = members.column("node").to_numpy()
-    r = Region([np.frombuffer(x, np.uint64) for x in members.column("grams").to_pylist()], percent)
+    order = np.argsort(nodes, kind="stable")
+    grams_of = members.column("grams").to_pylist()
+    r = Region([np.frombuffer(grams_of[k], np.uint64) for k in order], percent)
     r.join(np.arange(len(nodes)))
     root = np.array([r.find(k) for k in range(len(nodes))])
-    return table("a bigint, b bigint", a=nodes, b=nodes[root])
+    return table("a bigint, b bigint", a=nodes[order], b=nodes[order][root])
 
 
 def _measure(members: pa.Table, pivots: pa.Table, percent: int) -> pa.Table:

@@ -117,6 +117,7 @@ def test_page():
     assert html.Page("plain &amp text").text(set()) == "plain & text"
     assert html.Page("<main><p>a</p><article class=comment>no</article></main><p>b").text(set()) == "a"
     assert html.Page("<div hidden>no</div><p>a<p>b").text(set()) == "a b"
+    assert html.Page("<div class='main has-sidebar'><p>a</p><div class='sidebar'>b</div></div>").text(set()) == "a"
     assert html.Page("<p>a < b <script>x").text(set()) == "a < b"
 
 
@@ -419,6 +420,26 @@ def test_region_recursion():
         assert [r.find(i) for i in range(len(sets))] == [want.find(i) for i in range(len(sets))], trial
 
 
+def test_links_do_not_depend_on_row_order():
+    import pyarrow as pa
+
+    rows = [(i, np.sort(grams(word_hashes(t.encode().split()), 5))) for i, t in near_copies()]
+    t = pa.table({"node": [i for i, _ in rows], "grams": [np.unique(g).tobytes() for _, g in rows]})
+    want = sorted(zip(*(c.to_pylist() for c in jaccard_join._join_region(t, 75).columns), strict=True))
+    for seed in range(4):
+        mixed = t.take(np.random.default_rng(seed).permutation(len(rows)))
+        got = sorted(zip(*(c.to_pylist() for c in jaccard_join._join_region(mixed, 75).columns), strict=True))
+        assert got == want
+
+
+def test_graph_of_edges_that_change(spark):
+    """Edges whose direction differs between evaluations still give whole components."""
+    edges = spark.range(2000).select(F.when(F.rand() < 0.5, F.col("id")).otherwise(F.col("id") % 40).alias("a"), F.lit(None).cast("bigint").alias("b"), "id")
+    edges = edges.select("a", F.when(F.col("a") == F.col("id"), F.col("id") % 40).otherwise(F.col("id")).alias("b"))
+    got = graph.components(edges).collect()
+    assert len(got) == 2000 and all(r["component"] == r["node"] % 40 for r in got)
+
+
 def test_graph(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + k, 1001 + k) for k in range(70)] + [(5, 5), (None, 3)]
