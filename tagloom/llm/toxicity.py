@@ -180,7 +180,8 @@ def _one_of_each_group(rows: DataFrame) -> DataFrame:
             least.append(int((g * np.uint64(0xBF58476D1CE4E5B9)).min() >> np.uint64(1)) if len(h) else -1)
         return {"_y": batch.column(0), "_t": batch.column(1), "_m": least}
 
-    return cut(map_batches(rows, run, "_y int, _t string, _m bigint").dropDuplicates(["_y", "_m"]).drop("_m"))
+    marked = map_batches(rows, run, "_y int, _t string, _m bigint")
+    return cut(marked.groupBy("_y", "_m").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t")).drop("_m"))
 
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least: int = 4, precision: float = 0.95, most_terms: int = 100_000, most_entries: int = 2_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
