@@ -119,7 +119,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int =
     key = F.coalesce("_id", F.lit(-(1 << 63)))
 
     def narrow(s, _):
-        mid = F.expr("0").cast("int") + F.shiftright(s["lo"] + s["hi"], 1)
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
         below = F.get(F.col("_bounds"), mid) <= F.col("_k")
         return F.struct(F.when(s["lo"] >= s["hi"], s["lo"]).when(below, mid + 1).otherwise(s["lo"]).cast("int").alias("lo"), F.when(s["lo"] >= s["hi"], s["hi"]).when(below, s["hi"]).otherwise(mid).cast("int").alias("hi"))
 
@@ -129,11 +129,12 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int =
 
     # at most MAX_CUTS + 1 ranges, one row each
     firsts = sorted((r["_range"], r["k"]) for r in ranged(rows.select("_id")).groupBy("_range").agg(F.min("_k").alias("k")).collect())
-    order = [r for r, _ in firsts]
-    before = {k: order[i - 1] for i, (_, k) in enumerate(firsts)}
-    first_keys, first_before = [k for _, k in firsts], [before[k] for _, k in firsts]
-    place = F.array_position(F.lit(first_keys), F.col("_k"))
-    copied = ranged(rows).withColumn("_to", F.when(place > 0, F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("copy")), F.struct(F.get(F.lit(first_before), place.cast("int") - 1).alias("r"), F.lit(True).alias("copy")))).otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("copy")))))
+    first, before = [0] * (len(low) + 1), [0] * (len(low) + 1)
+    for i, (r, k) in enumerate(firsts):
+        first[r], before[r] = k, firsts[i - 1][0]
+    here = F.struct(F.col("_range").alias("r"), F.lit(False).alias("copy"))
+    earlier = F.struct(F.get(F.lit(before), F.col("_range")).cast("int").alias("r"), F.lit(True).alias("copy"))
+    copied = ranged(rows).withColumn("_to", F.when(F.col("_k") == F.get(F.lit(first), F.col("_range")), F.array(here, earlier)).otherwise(F.array(here)))
     spread = copied.select("_id", "_text", "_k", F.explode("_to").alias("_to")).select("_id", "_k", "_text", "_to.r", "_to.copy")
     following = F.lead("_text").over(Window.partitionBy("r").orderBy("copy", "_k", F.xxhash64("_text"), "_text"))
     return spread.withColumn("_next", following).where(~F.col("copy")).select("_id", "_text", F.coalesce("_next", F.lit("")).alias("_next"))
