@@ -44,7 +44,7 @@ def _arrow_schema(schema) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 
 
 def table(schema: str, **columns) -> pa.Table:

@@ -35,7 +35,7 @@ from .shards import BLOCK, block_count, cells, grams, mix64, pack, split_bounds,
 
 _ASK = "shard int, bucket int, n binary, a binary, c binary"
 _ANSWER = "bucket int, shard int, counts binary"
-_SETS = "doc_id bigint, n bigint, cls binary, grams binary, cells binary"
+_SETS = "doc_id bigint, n bigint, cls binary, grams binary, cells array<bigint>"
 WORD_CHARS = 6
 
 
@@ -106,7 +106,7 @@ def _sets(docs: pa.Table, answer: pa.Table, shards: int, blocks: int, n: int, pe
     for s, c in zip(answer.column("shard").to_pylist(), answer.column("counts").to_pylist(), strict=True):
         often[at[s] : at[s + 1]] = np.frombuffer(c, np.uint8)
     shingles: list[bytes | None] = [None] * len(b.sets)
-    chosen: list[bytes | None] = [None] * len(b.sets)
+    chosen: list[np.ndarray | None] = [None] * len(b.sets)
     for k, s in enumerate(b.sets):
         df = often[np.searchsorted(b.u, s)]
         need = -(-percent * len(s) // 100)  # a partner shares at least so many
@@ -116,7 +116,7 @@ def _sets(docs: pa.Table, answer: pa.Table, shards: int, blocks: int, n: int, pe
         # rarest first, ties by hash: one order for all documents. Two partners share one of the first len - need + 1
         order = np.lexsort((s, df))[: len(s) - need + 1]
         order = order[df[order] >= 2]
-        shingles[k], chosen[k] = s.tobytes(), s[order].tobytes()
+        shingles[k], chosen[k] = s.tobytes(), s[order].view(np.int64)
     given: set[int] = set()
     g, c = [], []
     for k in b.of:
@@ -291,8 +291,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 75, max_region_by
     carriers = sets.where("grams is not null").select("cls", "grams", "cells")
     one = carriers.groupBy("cls").agg(F.max_by("grams", F.xxhash64("grams")).alias("grams"), F.max_by("cells", F.xxhash64("cells")).alias("cells"))
     some = cut(one.join(classes, "cls").select("node", "grams", "cells"))
-    hex_cells = F.hex("cells")
-    cell = some.select("node", F.explode(F.transform(F.sequence(F.lit(0), (F.length(hex_cells) / 16).cast("int") - 1), lambda i: F.substring(hex_cells, i * 16 + 1, 16))).alias("cell"))
+    cell = some.select("node", F.explode("cells").alias("cell"))
     hubs = cell.groupBy("cell").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("cell", "hub")
     star = cell.join(hubs, "cell").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     regions = components(star).withColumnRenamed("component", "region")
