@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import cut, map_batches
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
@@ -34,6 +34,8 @@ _BLOCK = {
 _NEVER = {"head", "script", "style", "noscript", "template", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "title", "iframe", "svg", "canvas", "object", "dialog", "menu", "xmp", "noembed", "noframes", "math"}
 #: Names in class, id or role that mark such elements anywhere, and those that mark them outside an article only.
 _MARKED = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "sidebar", "comment", "comments", "disqus", "reply", "replies", "share", "sharing", "social", "related", "newsletter", "subscribe", "popup", "modal", "overlay", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "footer", "complementary", "contentinfo", "alert", "search"}
+#: Class words that say something about the page around an element, not what the element is.
+_STATES = ("has-", "with-", "without-", "no-", "is-", "js-")
 _MARKED_OUTSIDE = {"header", "masthead", "topbar", "toolbar", "widget", "banner"}
 #: A start tag closes an open element of these kinds first.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -124,7 +126,7 @@ class Page:
                 attributes = {a.lower(): v.strip("\"'").lower() for a, v in _ATTRIBUTE.findall(m.group(3))}
                 names = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}"
                 if names != "  " and not never and tag not in ("body", "html", "article", "main") or tag == "article":
-                    found = set(_NAMES.split(names))
+                    found = {n for word in names.split() if not word.startswith(_STATES) for n in _NAMES.split(word)}
                     never = never or bool(found & _MARKED) or not in_article and bool(found & _MARKED_OUTSIDE)
                 never = never or "hidden" in attributes or attributes.get("aria-hidden") == "true"
             never = never or tag == "header" and not in_article
@@ -178,7 +180,7 @@ def template_subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "h
         return {"host": hosts, "subtree": hashes}
 
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    found = map_batches(rows, run, "host string, subtree bigint").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n_pages"))
+    found = cut(map_batches(rows, run, "host string, subtree bigint").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n_pages")))
     often = found.where((F.col("subtree") != 0) & (F.col("n_pages") >= least_pages))
     sizes = found.where(F.col("subtree") == 0).select("host", F.col("n_pages").alias("_all"))
     return often.join(sizes, "host").where(F.col("n_pages") >= least_share * F.col("_all")).select("host", "subtree", "n_pages")
@@ -192,8 +194,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     columns are ignored. Templates reach the tasks by broadcast if they are at most broadcast_rows
     rows, which is checked, else by a join that gives each page the template hashes of its host.
     """
-    from .common import cut
-
     spark = pages.sparkSession
     templates = cut(template_subtrees(pages, url_col, html_col, least_pages, least_share))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
