@@ -42,7 +42,8 @@ class Automaton:
     """Deterministic product of a lexicon trie with Levenshtein automata.
 
     words may match with one error if they have at least fuzzy_from characters; stems match as exact prefixes.
-    run gives for each string the number of the matched entry (words first, then stems) and its errors.
+    run gives for each string the number of the matched entry (words first, then stems) and its errors: an exact
+    word, else a stem, else the first word with an error.
     """
 
     def __init__(self, words: list[str], stems: list[str], fuzzy_from: int = 5, fuzzy_words: int = 64):
@@ -81,18 +82,30 @@ class Automaton:
                         todo.append((below, e + 1))
             return frozenset(s for s in states if not any((s[0], e) in states for e in range(s[1])))
 
+        def under(states: frozenset) -> int:
+            """The stem met so far, which is in the state as node -1 - its number, or -1."""
+            return next((-1 - n for n, _ in states if n < 0), next((stem_at[n] for n, e in states if e == 0 and n in stem_at), -1))
+
         start = closure({(0, 0)})
         number, table, self.entry, self.errors = {start: 0}, [], [], []
         queue = [start]
         letters = ["", *sorted(self.alphabet)]
         while queue:
             state = queue.pop(0)
-            stem = next((stem_at[n] for n, e in state if e == 0 and n in stem_at), -1)
-            whole = min(((e, k) for n, e in state for k, most in ends[n].items() if e <= most), default=None)
-            if stem >= 0 and (whole is None or whole[0] > 0):
-                self.entry.append(stem)
+            stem = under(state)
+            whole = min(((e, k) for n, e in state if n >= 0 for k, most in ends[n].items() if e <= most), default=None)
+            if stem >= 0:  # matches whatever follows, so only a covered word without an error can still take its place
+                exact = next((n for n, e in state if n >= 0 and e == 0), None)
+                self.entry.append(whole[1] if whole and whole[0] == 0 else stem)
                 self.errors.append(0)
-                table.append([number[state]] * len(letters))  # a stem matches whatever follows
+                row = []
+                for c in letters:
+                    target = frozenset({(-1 - stem, 0)} | ({(child[exact][c], 0)} if exact is not None and c in child[exact] else set()))
+                    if target not in number:
+                        number[target] = len(number)
+                        queue.append(target)
+                    row.append(number[target])
+                table.append(row)
                 continue
             self.entry.append(whole[1] if whole else -1)
             self.errors.append(whole[0] if whole else 0)
@@ -154,14 +167,18 @@ def _lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean
         return p >= least and worth(term) >= precision and g >= least_ratio
 
     words = sorted((t for t in toxic if t[0] != "^" and sure(t)), key=lambda t: (-toxic[t], t))
+    longer: dict[str, list[str]] = {t: [] for t in toxic if t[0] == "^"}  # of each stem: the whole words and stems of one more letter
+    for t in toxic:
+        s = t[:-1] if t[0] == "^" else "^" + t[:-1]
+        if s in longer:
+            longer[s].append(t)
     stems, covered = [], []
     for s in sorted((t for t in toxic if t[0] == "^" and sure(t)), key=lambda t: (len(t), t)):
         stem = s[1:]
-        widest = max((toxic[t] for t in (stem, *(s + c for c in {x[len(s)] for x in toxic if x[: len(s)] == s and len(x) > len(s)})) if t in toxic), default=0)
+        widest = max((toxic.get(t, 0) for t in (stem, *longer[s])), default=0)
         if widest < 0.8 * toxic[s] and not stem.startswith(tuple(covered)):  # a family, not one word's beginning
             stems.append(stem)
             covered.append(stem)
-    words = [w for w in words if not w.startswith(tuple(stems))] if stems else words
     return words, [worth(w) for w in words], stems, [worth("^" + s) for s in stems]
 
 

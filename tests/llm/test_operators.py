@@ -345,6 +345,24 @@ def test_automaton():
             assert (k >= 0) == bool(near) and (not near or e == 1), s
 
 
+def test_automaton_with_words_under_stems():
+    a = toxicity.Automaton(["idiot", "moron"], ["idio", "moron"])
+    entry, errors = a.run(["idiot", "idiots", "idio", "id1ot", "idit", "moron", "morons", "mor0n", "mor"])
+    assert list(zip(entry.tolist(), errors.tolist(), strict=True)) == [(0, 0), (2, 0), (2, 0), (0, 1), (0, 1), (1, 0), (3, 0), (1, 1), (-1, 0)]
+
+
+def test_misspellings_of_learnt_words(spark):
+    """A word that a stem covers, and one that has no family, are both found with an error."""
+    abuse = ["idiot", "worthless", "moron", "moronic", "morons"]
+    rows = [(i, passage(i, 30) + (f" {abuse[i % 5]} {abuse[i // 2 % 5]} " if i % 2 else " ") + passage(1000 + i, 30)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    spelt = ["idiot", "id1ot", "idioot", "idot", "worthles", "worthl3ss", "moron", "mor0n", "moronics"]
+    asked = spark.createDataFrame([(k, f"{passage(5000 + k, 30)} {w} {passage(6000 + k, 30)}") for k, w in enumerate([*spelt, "river"])], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(asked, docs, labels).collect()}
+    assert [w for k, w in enumerate(spelt) if got[k] < 0.4] == [] and got[len(spelt)] == 0.01
+
+
 def test_quotation_and_misspelling():
     s = toxicity.Scorer(toxicity.Automaton(["idiot", "moron"], []), np.array([0.99, 0.99]), frozenset(["morn"]))
     score = lambda t: s.score([t.encode()])[0]
