@@ -4,7 +4,7 @@ The lexicon is learnt from a bounded sample of labelled rows: words, and stems s
 occur in toxic documents and hardly in others, each with its smoothed precision. The words form a trie;
 running a Levenshtein automaton of one error along its edges and determinising the product gives one
 table-driven automaton that recognises every lexicon word with at most one insertion, deletion or
-substitution, and every stem as a prefix. Distinct words of a batch run through it in numpy, one
+substitution, and every stem as a prefix (a large lexicon takes several such automata). Distinct words of a batch run through it in numpy, one
 character position at a time.
 
 A hit inside a window that quotes or reports (a quotation open before and closed after it, or a word
@@ -46,7 +46,7 @@ class Automaton:
     word, else a stem, else the first word with an error.
     """
 
-    def __init__(self, words: list[str], stems: list[str], fuzzy_from: int = 5, fuzzy_words: int = 64):
+    def __init__(self, words: list[str], stems: list[str], fuzzy_from: int = 5):
         child: list[dict[str, int]] = [{}]
         ends: list[dict[int, int]] = [{}]  # per node: entry that ends here -> errors it may have
         stem_at: dict[int, int] = {}
@@ -66,7 +66,7 @@ class Automaton:
             return node
 
         for k, w in enumerate(words):
-            errors = int(len(w) >= fuzzy_from and k < fuzzy_words)
+            errors = int(len(w) >= fuzzy_from)
             ends[insert(w, errors)][k] = errors
         for k, s in enumerate(stems):
             stem_at.setdefault(insert(s, 0), len(words) + k)
@@ -151,6 +151,41 @@ class Automaton:
         return self.entry[out], self.errors[out]
 
 
+class Lexicon:
+    """Automata for all words and stems, run one after another, with the results of one automaton for them all.
+
+    A table has about four states a letter of the words and a column a character of the alphabet, so words go to
+    one automaton until their letters times their alphabet reach most_cells.
+    """
+
+    def __init__(self, words: list[str], stems: list[str], most_cells: int = 100_000):
+        parts: list[list[int]] = [[]]
+        letters, alphabet = 0, set()
+        for k in sorted(range(len(words)), key=lambda k: words[k]):  # words of one script go together
+            if parts[-1] and (letters + len(words[k])) * len(alphabet | set(words[k])) > most_cells:
+                parts.append([])
+                letters, alphabet = 0, set()
+            parts[-1].append(k)
+            letters += len(words[k])
+            alphabet |= set(words[k])
+        self.size = len(words) + len(stems)
+        self.parts = []
+        for part in map(sorted, parts):
+            self.parts.append((Automaton([words[k] for k in part], []), np.array(part, np.int64)))
+        if stems:
+            self.parts.append((Automaton([], stems), np.arange(len(words), self.size)))
+
+    def run(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        none = 2 * self.size
+        best = np.full(len(strings), none, np.int64)
+        for automaton, numbers in self.parts:
+            entry, errors = automaton.run(strings)
+            hit = np.flatnonzero(entry >= 0)
+            best[hit] = np.minimum(best[hit], errors[hit].astype(np.int64) * self.size + numbers[entry[hit]])
+        found = best < none
+        return np.where(found, best % max(1, self.size), -1).astype(np.int32), np.where(found, best // max(1, self.size), 0).astype(np.int8)
+
+
 def _lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, least: int, precision: float, least_ratio: float = 28.0) -> tuple[list[str], list[float], list[str], list[float]]:
     """Words and stems that occur in toxic documents and hardly in others, with smoothed precisions at equal class sizes."""
 
@@ -235,7 +270,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, l
     clean = {r["term"]: r["n"] for r in counted(rows.where("_y = 0"), lambda t: terms(t) & wanted.value).collect()}
     words, word_worth, stems, stem_worth = _lexicon(toxic, clean, n_toxic, n_clean, least, precision)
     words, word_worth, stems, stem_worth = words[:most_entries], word_worth[:most_entries], stems[:most_entries], stem_worth[:most_entries]
-    automaton = Automaton(words, stems)
+    automaton = Lexicon(words, stems)
     shared = spark.sparkContext.broadcast(automaton)
 
     def near(text: str) -> list[str]:
@@ -260,7 +295,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, l
 class Scorer:
     """Scores texts; remembers a bounded number of distinct chunks."""
 
-    def __init__(self, automaton: Automaton, worth: np.ndarray, innocent: frozenset, weights: tuple[float, float, float] = (0.0, 1.0, 0.0), near_worth: float = 0.9, window: int = 6, limit: int = 500_000):
+    def __init__(self, automaton: Automaton | Lexicon, worth: np.ndarray, innocent: frozenset, weights: tuple[float, float, float] = (0.0, 1.0, 0.0), near_worth: float = 0.9, window: int = 6, limit: int = 500_000):
         self.automaton, self.worth, self.innocent, self.weights = automaton, worth, innocent, weights
         self.near_worth, self.window, self.limit = near_worth, window, limit
         self.known: set[bytes] = set()

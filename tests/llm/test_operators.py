@@ -351,6 +351,25 @@ def test_automaton_with_words_under_stems():
     assert list(zip(entry.tolist(), errors.tolist(), strict=True)) == [(0, 0), (2, 0), (2, 0), (0, 1), (0, 1), (1, 0), (3, 0), (1, 1), (-1, 0)]
 
 
+def test_every_word_of_a_large_lexicon_may_have_an_error():
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcdeéжз") for _ in range(rng.randint(3, 8))) for _ in range(300)}, key=lambda w: rng.random())
+    stems = [words[7][:4], "zzzz"]
+    strings = [*words, "zzzzz", "", *(w[:k] + rng.choice(["", "q", "a"]) + w[k + 1 :] for w in words for k in (rng.randrange(len(w)),))]
+    want = []
+    for x in strings:
+        hits = [(brute.edit_distance(x, w), k) for k, w in enumerate(words) if abs(len(w) - len(x)) < 2] + [(0, len(words) + k) for k, s in enumerate(stems) if x.startswith(s)]
+        e, k = min((h for h in hits if h[0] == 0 or h[0] == 1 and len(words[h[1]]) >= 5), default=(0, -1))
+        want.append((k, e))
+    for most in (100_000, 500):
+        entry, errors = toxicity.Lexicon(words, stems, most).run(strings)
+        assert list(zip(entry.tolist(), errors.tolist(), strict=True)) == want
+    assert len(toxicity.Lexicon(words, stems, 500).parts) > 5
+    entry, errors = toxicity.Automaton(words, stems).run(strings)
+    assert list(zip(entry.tolist(), errors.tolist(), strict=True)) == want
+    assert toxicity.Lexicon([], []).run(["a", ""])[0].tolist() == [-1, -1]
+
+
 def test_misspellings_of_learnt_words(spark):
     """A word that a stem covers, and one that has no family, are both found with an error."""
     abuse = ["idiot", "worthless", "moron", "moronic", "morons"]
