@@ -104,7 +104,7 @@ def _start(rows: DataFrame) -> DataFrame:
     return dev.select("_g", *[f"m{i}" for i in range(4)], *low)
 
 
-def quality_verdicts(docs: DataFrame, cutoff: float = 40.0, coverage: float = 0.75, steps: int = 2, least_group: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_verdicts(docs: DataFrame, cutoff: float = 40.0, coverage: float = 0.5, steps: int = 3, least_group: int = 30, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """Base statistics and verdict for every row of docs.
 
     Returns the columns carry, id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,

@@ -252,6 +252,18 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in junk)
 
 
+def test_quality_drops_junk_that_is_much_of_a_group(spark):
+    """Junk that varies as the clean rows do, in two fifths of one language and source."""
+    rng = random.Random(6)
+    spoil = lambda t, p: " ".join(f"{w}%%% &|" if rng.random() < p else w for w in t.split())
+    clean = [(i, passage(i, 100 + i % 300), "en", "s", 1) for i in range(300)]
+    junk = [(1000 + i, spoil(passage(1000 + i, 200), rng.uniform(0.3, 1.0)), "en", "s", 1) for i in range(200)]
+    other = [(2000 + i, passage(2000 + i, 120), "de", "s", 1) for i in range(100)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(spark.createDataFrame(clean + junk + other, SCHEMA)).collect()}
+    assert sum(got[i] for i, *_ in clean) >= 297 and all(got[i] for i, *_ in other)
+    assert sum(got[i] for i, *_ in junk) <= 4
+
+
 # 7
 
 
