@@ -1,11 +1,12 @@
 """Operator 2: main text of web pages, with site templates found by recurring element subtrees.
 
-Pass one parses each page and hashes every block element that lies outside the article, bottom up
+Pass one parses each page and hashes every block element, bottom up
 from tag, class, id, own text and child hashes. Spark counts in how many pages of its host each hash occurs;
 subtrees that recur across many pages of the host are template. Pass two parses again, drops
 template subtrees together with elements that are never main text (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments), and joins the blocks left.
-Paragraphs inside an article element are never judged by recurrence: copies of an article are not template.
+Inside an article element (hashed apart from what lies outside) a subtree is judged by the number of its different
+surroundings, each told by the longest other block of the article: copies of an article are not template.
 """
 
 from __future__ import annotations
@@ -41,14 +42,19 @@ _MARKED_OUTSIDE = {"header", "masthead", "topbar", "toolbar", "widget", "banner"
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
 class Page:
     """One parsed page: its blocks in order, each with the element subtrees that hold it."""
 
-    __slots__ = ("blocks", "subtrees", "has_article", "has_main")
+    __slots__ = ("blocks", "subtrees", "inside", "has_article", "has_main")
 
     def __init__(self, source: str | None):
         self.blocks: list[tuple[str, tuple[int, ...], bool, bool]] = []  # text, numbers of the holding subtrees, in article, in main
         self.subtrees: list[int] = []  # hash of each subtree by number, once closed
+        self.inside: list[int] = []  # per subtree: the number, from 1, of the outermost article that it lies in; 0 outside
         self.has_article = self.has_main = False
         if source:
             self._parse(source)
@@ -63,8 +69,9 @@ class Page:
                 text.clear()
                 if joined:
                     top = stack[-1] if stack else None
-                    if top is not None and top[5] is not None:
-                        top[5].update(joined)
+                    outer = next((e for e in reversed(stack) if e[5] is not None), None)  # past inline elements left open
+                    if outer is not None:
+                        outer[5].update(joined)
                     if top is None or not top[1]:
                         self.blocks.append((joined, tuple(e[4] for e in stack if e[4] >= 0), bool(top and top[2]), bool(top and top[3])))
 
@@ -79,7 +86,7 @@ class Page:
                     if outer is not None:
                         outer[5].update(hasher.digest())
 
-        at = 0
+        at = articles = 0
         while (m := _TOKEN.search(s, at)) is not None:
             if m.start() > at:
                 text.append(s[at : m.start()])
@@ -137,9 +144,12 @@ class Page:
             if not never:
                 self.has_article = self.has_article or tag == "article"
                 self.has_main = self.has_main or tag == "main"
-            if block and not in_article and tag not in ("html", "body"):
-                hasher = xxhash.xxh3_64(f"<{tag} {names}>")
+            if block and tag not in ("html", "body"):
+                within = up is not None and up[2]  # an article itself is not within it
+                articles += in_article and not within
+                hasher = xxhash.xxh3_64(f"<{tag} {names}>" if not in_article else f"<in article {tag} {names}>")
                 self.subtrees.append(0)
+                self.inside.append(articles if in_article else 0)
                 stack.append([tag, never, in_article, in_main, len(self.subtrees) - 1, hasher])
             else:
                 stack.append([tag, never, in_article, in_main, -1, None])
@@ -148,17 +158,28 @@ class Page:
         flush()
         close(0)
 
-    def hashes(self) -> set[int]:
-        return {h - (1 << 64) if h >= 1 << 63 else h for h in self.subtrees}
+    def hashes(self) -> dict[int, int]:
+        """Hash of each subtree -> hash of its surroundings: 0 outside articles, and where it is all of the article."""
+        longest: dict[int, list[tuple[str, tuple[int, ...]]]] = {}  # of each article, its blocks from the longest
+        for text, held, in_article, _ in self.blocks:
+            if in_article:
+                longest.setdefault(max(self.inside[k] for k in held), []).append((text, held))
+        for blocks in longest.values():
+            blocks.sort(key=lambda b: (-len(b[0]), b[0]))
+        out: dict[int, int] = {}
+        for k, h in enumerate(self.subtrees):
+            other = next((t for t, held in longest.get(self.inside[k], ()) if k not in held), "")
+            out.setdefault(_signed(h), _signed(xxhash.xxh3_64_intdigest(other)) if other else 0)
+        return out
 
     def text(self, template: set[int]) -> str:
         """Main text: the articles if there are any, else the main element, else all; without template subtrees."""
-        bad = {k for k, h in enumerate(self.subtrees) if (h - (1 << 64) if h >= 1 << 63 else h) in template} if template else set()
+        bad = {k for k, h in enumerate(self.subtrees) if _signed(h) in template} if template else set()
         kept = []
         for text, held, in_article, in_main in self.blocks:
             if self.has_article and not in_article or not self.has_article and self.has_main and not in_main:
                 continue
-            if not in_article and bad and not bad.isdisjoint(held):
+            if bad and not bad.isdisjoint(held):
                 continue
             kept.append(text)
         return " ".join(kept)
@@ -169,18 +190,25 @@ def host_of(url: str) -> Column:
 
 
 def template_subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 10, least_share: float = 0.2) -> DataFrame:
-    """host, subtree, n_pages: subtrees outside articles in at least least_pages pages and least_share of the pages of a host."""
+    """host, subtree, n_pages: subtrees in at least least_pages pages and least_share of the pages of a host.
+
+    Pages in which a subtree of an article has the same surroundings count as one; without any it is no template.
+    """
 
     def run(batch):
-        hosts, hashes = [], []
+        hosts, hashes, around = [], [], []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = [0, *sorted(Page(source).hashes() - {0})]
+            own = {0: (0, False)}  # 0 stands for the page itself
+            page = Page(source)
+            inside = {_signed(h) for h, a in zip(page.subtrees, page.inside, strict=True) if a}
+            own |= {h: (a, h in inside) for h, a in page.hashes().items() if h and (a or h not in inside)}
             hosts += [host] * len(own)
-            hashes += own  # 0 stands for the page itself
-        return {"host": hosts, "subtree": hashes}
+            hashes += own
+            around += [a if within else None for a, within in own.values()]
+        return {"host": hosts, "subtree": hashes, "around": around}
 
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    found = cut(map_batches(rows, run, "host string, subtree bigint").groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n_pages")))
+    found = cut(map_batches(rows, run, "host string, subtree bigint, around bigint").groupBy("host", "subtree", "around").agg(F.count(F.lit(1)).alias("_n")).groupBy("host", "subtree").agg(F.sum(F.when(F.col("around").isNull(), F.col("_n")).otherwise(1)).alias("n_pages")))
     often = found.where((F.col("subtree") != 0) & (F.col("n_pages") >= least_pages))
     sizes = found.where(F.col("subtree") == 0).select("host", F.col("n_pages").alias("_all"))
     return often.join(sizes, "host").where(F.col("n_pages") >= least_share * F.col("_all")).select("host", "subtree", "n_pages")

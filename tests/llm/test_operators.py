@@ -137,6 +137,21 @@ def test_templates(spark):
     assert html.extract_text(df.limit(0)).count() == 0
 
 
+def test_templates_inside_articles(spark):
+    """A box on every page of a host goes; an article that is copied, whole or with an edit, stays whole."""
+    box = "<div class='more'><p>Read more of this</p><p>Tell a friend</p></div>"
+    rows = [(i, f"http://h.example/{i}", f"<body><article><h1>Title {i}</h1><p>{passage(i, 30)}</p>{box}<p>Second {i}</p></article></body>") for i in range(30)]
+    rows += [(100 + i, f"http://h.example/c{i}", f"<body><article><h1>Copied</h1><p>{passage(99, 40)}</p>{box}<p>{passage(98, 20)}</p><p>Edit {i % 15}</p></article></body>") for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in html.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i} {passage(i, 30)} Second {i}" for i in range(30))
+    assert all(got[100 + i] == f"Copied {passage(99, 40)} {passage(98, 20)} Edit {i % 15}" for i in range(30))
+
+
+def test_subtrees_hold_text_of_open_inline_elements():
+    one, two = (html.Page(f"<article><p><b>{t}<p>same</article>") for t in ("one", "two"))
+    assert one.subtrees[1] != two.subtrees[1] and one.subtrees[2] == two.subtrees[2]
+
+
 def test_pages_table(spark):
     import html as entities
     import re
