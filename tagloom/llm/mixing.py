@@ -3,7 +3,7 @@
 Source s of n_s rows has target weight w_s and mean repetition rate w_s * total / n_s. Each document
 draws its number of copies by inverting the Poisson distribution with that mean at a uniform number that a
 hash of seed and id gives, is exploded by that number, and all copies are shuffled globally by
-a second hash. No row depends on another one, so a lost task is redrawn alike.
+a second hash. A large rate is a sum of draws at equal parts of it. No row depends on another one, so a lost task is redrawn alike.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 SEED = "mix-1"
 MOST_BROADCAST = 20_000
+#: The largest rate of one draw; far below about 745, where the probability of no copy underflows.
+MOST_RATE = 64.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -22,7 +24,7 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str, temperature: float, max_rate: float) -> list[tuple[str | None, int, float]]:
+def source_rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str, temperature: float, max_rate: float | None) -> list[tuple[str | None, int, float]]:
     """(source, rows, mean repetition rate) of every source; one row a source, a bounded catalogue.
 
     Without weights a source weighs n_s ** temperature. Weights are made to sum to one over the sources
@@ -33,7 +35,7 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None, source_col:
     total = sum(n for _, n in sizes)
     share = [(float(n) ** temperature if weights is None else float(weights.get(s, 0.0))) for s, n in sizes]
     whole = math.fsum(share)
-    return [(s, n, min(max_rate, x / whole * total / n) if whole else 0.0) for (s, n), x in zip(sizes, share, strict=True)]
+    return [(s, n, min(math.inf if max_rate is None else max_rate, x / whole * total / n) if whole else 0.0) for (s, n), x in zip(sizes, share, strict=True)]
 
 
 def poisson_cdf(rate: float) -> list[float]:
@@ -47,24 +49,27 @@ def poisson_cdf(rate: float) -> list[float]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, max_rate: float = 8.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, max_rate: float | None = None, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Replicated and globally shuffled docs, with all their columns, copy (from 0) and shuffle_key.
 
     The draw depends on seed and id only; rows that repeat an id draw alike, null ids as the text "null". A
-    null source is a source of its own. max_rate bounds the mean repetition of one document, which else
-    would be large for a tiny source. Columns of docs called copy or shuffle_key are replaced. An empty
+    null source is a source of its own. max_rate, if given, bounds the mean repetition of one document, which else
+    is large for a tiny source; what it cuts off goes to no other source. Columns of docs called copy or shuffle_key are replaced. An empty
     table gives an empty result. Rows come out ordered by shuffle_key across partitions.
     """
     rates = source_rates(docs, weights, source_col, temperature, max_rate)
     docs = docs.drop("copy", "shuffle_key")
     spark = docs.sparkSession
-    table = spark.createDataFrame([(s, poisson_cdf(rate)) for s, _, rate in rates], "_source string, _cdf array<double>")
+    table = spark.createDataFrame([(s, poisson_cdf(rate / parts), parts) for s, _, rate in rates for parts in [max(1, math.ceil(rate / MOST_RATE))]], "_source string, _cdf array<double>, _parts int")
     if len(rates) <= MOST_BROADCAST:  # each row has at most 220 numbers; beyond this the join is Spark's choice
         table = F.broadcast(table)
     columns = docs.columns
     docs = docs.join(table, F.col(source_col).cast("string").eqNullSafe(F.col("_source")), "left")
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    copies = F.size(F.filter("_cdf", lambda c: c <= uniform(F.lit(seed), F.lit("copies"), name)))
+    draw = lambda u: F.size(F.filter("_cdf", lambda c: c <= u))
+    more = lambda k: draw(uniform(F.lit(seed), F.lit("copies"), name, k.cast("string")))
+    copies = draw(uniform(F.lit(seed), F.lit("copies"), name))
+    copies = F.when(F.col("_parts") > 1, copies + F.aggregate(F.sequence(F.lit(1), F.col("_parts") - 1), F.lit(0), lambda n, k: n + more(k))).otherwise(copies)
     drawn = docs.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)))).select(*columns, "copy")
     key = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), name, F.col("copy").cast("string")).cast("binary")), 1, 16)
     return drawn.withColumn("shuffle_key", key).orderBy("shuffle_key", id_col, "copy")

@@ -299,6 +299,15 @@ def test_mixing_hits_its_targets(spark):
     assert got["hot"] == pytest.approx(20_000, rel=0.03) and got["cold"] == pytest.approx(20_000, rel=0.03)
 
 
+def test_mixing_hits_its_targets_with_tiny_sources(spark):
+    """Rates of about 99 by square roots, and of 5,000 by weights, which takes many draws a row."""
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 4, "four").otherwise("hot").alias("source"))
+    got = {r["source"]: r["count"] for r in mixing.mix(df, temperature=0.5).groupBy("source").count().collect()}
+    assert got["four"] == pytest.approx(396, abs=80) and got["hot"] == pytest.approx(39_604, rel=0.03)
+    got = {r["source"]: r["count"] for r in mixing.mix(df, weights={"hot": 0.5, "four": 0.5}).groupBy("source").count().collect()}
+    assert got["four"] == pytest.approx(20_000, rel=0.03) and got["hot"] == pytest.approx(20_000, rel=0.03)
+
+
 # 8
 
 
