@@ -70,37 +70,82 @@ def base(text):
     return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
-def verdicts(rows, cutoff=40.0, coverage=0.75, steps=2, least=30, ridge=0.02):
-    """(text, lang, source) -> (base..., base_failed, kept) per row."""
+def verdicts(rows, tail=1e-6, coverage=0.5, steps=12, prior=30.0, resolution=(0.02, 0.05, 0.1, 0.1)):
+    """(text, lang, source) -> (base..., base_failed, kept) per row: minimum covariance determinants, group by group."""
     stats = [base(t) for t, _, _ in rows]
     failed = [n < 50 or 100 * r > 50 * n for n, _, _, _, r in stats]
-    x = np.array([(math.log(max(c, 1) / max(n, 1)), math.log1p(20 * s / (c + 50)), math.log1p(d) / 4, 2 * r / (n + 10)) for n, c, s, d, r in stats]).reshape(-1, 4)
+    x = np.array([(math.log((c + 500) / (n + 100)), math.log1p(20 * s / (c + 50)), math.log1p(d) / 4, 2 * r / (n + 10)) for n, c, s, d, r in stats]).reshape(-1, 4)
     group = {}
     for k, (_, lang, source) in enumerate(rows):
         if not failed[k]:
             group.setdefault((lang, source), []).append(k)
+    group = {g: x[m] for g, m in group.items()}
     passing = [k for k in range(len(rows)) if not failed[k]]
-
-    def fit(members):
-        v = x[members]
-        rank = lambda a, q: np.sort(a, axis=0)[max(0, math.ceil(q * len(a)) - 1)]
-        m = rank(v, 0.5)
-        c = np.diag((1.4826 * rank(np.abs(v - m), 0.5)) ** 2 + ridge)
-        for _ in range(steps):
-            d = np.einsum("ij,ij->i", v - m, np.linalg.solve(c, (v - m).T).T)
-            near = v[d <= rank(d, coverage)]
-            m = near.mean(0)
-            c = near.T @ near / len(near) - np.outer(m, m) + np.eye(4) * ridge
-        return m, c
-
-    every = fit(passing) if passing else None
-    own = {g: fit(members) for g, members in group.items() if len(members) >= least}
+    least = np.diag(np.square(resolution))
+    exceed = lambda v, p: math.exp(-v / 2) * sum((v / 2) ** k / math.factorial(k) for k in range(p // 2))
+
+    def quantile(tail):
+        low, high = 0.0, 2000.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if exceed(mid, 4) > tail else (low, mid)
+        return low
+
+    factor = lambda share: share / (1 - exceed(quantile(1 - share), 6))
+    rank = lambda v, q: np.sort(v, axis=0)[max(0, math.ceil(q * len(v)) - 1)]
+    median = lambda v: (np.floor(rank(v, 0.5) * 1000) + 0.5) / 1000
+    bucket = lambda d: np.floor(100 * np.log1p(100 * d))
+    distance = lambda v, e: np.einsum("ij,ij->i", v - e[0], np.linalg.solve(e[1], (v - e[0]).T).T)
+
+    def starts(v):
+        m = median(v)
+        scale = np.sqrt((1.4826 * median(np.abs(v - m))) ** 2 + np.square(resolution))
+        z = (v - m) / scale
+        t, u = np.tanh(z), z / np.sqrt((z**2).sum(1) + 1e-12)[:, None]
+        out = [np.diag(scale**2)]
+        for part in (t.T @ t / len(v) - np.outer(t.mean(0), t.mean(0)), u.T @ u / len(v)):
+            d = np.sqrt(np.diag(part) + 1e-3)
+            r = len(v) / (len(v) + prior) * part / np.outer(d, d)
+            np.fill_diagonal(r, 1.0)
+            out.append(np.outer(scale, scale) * r)
+        return [(m, c) for c in out]
+
+    def moments(v, share):
+        m = v.mean(0)
+        return len(v), m, factor(share) * (v.T @ v / len(v) - np.outer(m, m))
+
+    def shrunk(own, whole):
+        (n, m, c), (_, pm, pc) = own, whole
+        w = n / (n + prior)
+        return w * m + (1 - w) * pm, w * c + (1 - w) * pc + least
+
+    if not passing:
+        return [(*s, True, False) for s in stats]
+    every = x[passing]
+    members = {"all": every, **group}
+    now = {g: starts(v) for g, v in members.items()}
+    for _ in range(steps):
+        raw = {}
+        for g, v in members.items():
+            for s in range(3):
+                d = bucket(distance(v, now[g][s]))
+                raw[g, s] = moments(v[d <= rank(d, coverage)], coverage)
+        new = {g: [(raw[g, s][1], raw[g, s][2] + least) if g == "all" else shrunk(raw[g, s], raw["all", s]) for s in range(3)] for g in members}
+        moved = max(abs(np.linalg.slogdet(new[g][s][1])[1] - np.linalg.slogdet(now[g][s][1])[1]) for g in members for s in range(3))
+        now = new
+        if moved <= 0.01:
+            break
+    last = {}
+    for g, v in members.items():
+        best = min(range(3), key=lambda s: (round(np.linalg.slogdet(now[g][s][1])[1], 9), s))
+        inside = v[distance(v, now[g][best]) <= quantile(0.025)]
+        if len(inside):
+            last[g] = moments(inside, 0.975)
     out = []
     for k, (_, lang, source) in enumerate(rows):
         kept = not failed[k]
         if kept:
-            m, c = own.get((lang, source), every)
-            kept = bool((x[k] - m) @ np.linalg.solve(c, x[k] - m) <= cutoff)
+            kept = bool(distance(x[k : k + 1], shrunk(last[lang, source], last["all"]))[0] <= quantile(tail)) if (lang, source) in last else True
         out.append((*stats[k], failed[k], kept))
     return out
 

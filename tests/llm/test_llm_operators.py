@@ -245,16 +245,40 @@ def test_bpe(edges, nothing):
 # 5
 
 
-def test_quality(spark, edges, small, nothing):
+def test_quality(spark, edges, nothing):
     medium = spark.read.parquet(f"{MEDIUM}/documents.parquet")
-    for df, least in ((edges, 30), (small, 5), (medium, 30)):
+    for df in (edges, medium):
         rows = df.select("doc_id", "text", "lang", "source").collect()
-        got = quality.quality_verdicts(df, least_group=least).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-        want = [(r["doc_id"], *v) for r, v in zip(rows, brute.verdicts([(r["text"], r["lang"], r["source"]) for r in rows], least=least), strict=True)]
+        got = quality.quality_verdicts(df).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+        want = [(r["doc_id"], *v) for r, v in zip(rows, brute.verdicts([(r["text"], r["lang"], r["source"]) for r in rows]), strict=True)]
         assert by(tuple(r) for r in got.collect()) == by(want)
     assert quality.quality_verdicts(nothing).count() == 0
 
 
+def test_repeated_windows_are_exact_where_hashes_clash(edges, small):
+    """With a hash of a few bits nearly all windows clash; the words decide."""
+    for df in (edges, small):
+        rows = df.select("doc_id", "text").collect()
+        got = quality.base_statistics(df, F.col("text"), [F.col("doc_id")], hash_bits=12).select("doc_id", "n_words", "n_repeat_words")
+        assert by(tuple(r) for r in got.collect()) == by((r["doc_id"], brute.base(r["text"])[0], brute.base(r["text"])[4]) for r in rows)
+
+
+def test_chi_square():
+    assert quality.chi2_quantile(0.5) == pytest.approx(3.3567, abs=1e-4) and quality.chi2_quantile(0.025) == pytest.approx(11.1433, abs=1e-4)
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(200_000, 4))
+    near = v[(v**2).sum(1) <= quality.chi2_quantile(0.5)]
+    assert np.diag(quality.consistency(0.5) * np.cov(near.T)) == pytest.approx(np.ones(4), abs=0.03)
+
+
+def test_small_groups_lean_on_the_whole(spark):
+    """A junk row that is alone in its language and source is rejected, a clean one is not."""
+    clean = [(i, passage(i, 100 + i % 300), "en", "s", 1) for i in range(300)]
+    alone = [(1000, " ".join(f"{w}%%% &|" for w in passage(7, 200).split()), "en", "other", 1), (1001, passage(8, 150), "de", "s", 1)]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_verdicts(spark.createDataFrame(clean + alone, SCHEMA)).collect()}
+    assert not got[1000] and got[1001]
+
+
 def test_quality_is_native(small):
     plan = quality.quality_verdicts(small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
