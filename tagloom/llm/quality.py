@@ -221,7 +221,10 @@ def mcd_estimates(members: DataFrame, coverage: float = 0.5, steps: int = 12, pr
     best = groups.groupBy("_g").agg(F.expr(f"min_by(struct({', '.join(ESTIMATE[2:])}), struct(round(ld, 9), _s)) AS _e")).select("_g", F.lit(0).alias("_s"), "_e.*")
     # every row within the 97.5 % ellipsoid counts in the last estimate; only the better start of each group is left
     near = _with_distance(members, hint(best)).where(F.col("_d2") <= chi2_quantile(0.025))
-    return cut(_estimate(near, 0.975, prior_rows))
+    last = cut(_estimate(near, 0.975, prior_rows))
+    # a group without a row there, such as one far row alone, has the estimate of all rows
+    none = best.select("_g", "_s").join(last.select("_g"), ["_g"], "left_anti")
+    return last.unionByName(none.join(F.broadcast(last.where(F.col("_g") == ALL).drop("_g")), ["_s"]))
 
 
 def quality_verdicts(docs: DataFrame, tail: float = 1e-6, coverage: float = 0.5, steps: int = 12, prior_rows: float = 30.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:

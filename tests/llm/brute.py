@@ -145,7 +145,8 @@ def verdicts(rows, tail=1e-6, coverage=0.5, steps=12, prior=30.0, resolution=(0.
     for k, (_, lang, source) in enumerate(rows):
         kept = not failed[k]
         if kept:
-            kept = bool(distance(x[k : k + 1], shrunk(last[lang, source], last["all"]))[0] <= quantile(tail)) if (lang, source) in last else True
+            own = shrunk(last[lang, source], last["all"]) if (lang, source) in last else (last["all"][1], last["all"][2] + least)
+            kept = bool(distance(x[k : k + 1], own)[0] <= quantile(tail))
         out.append((*stats[k], failed[k], kept))
     return out
 
