@@ -41,14 +41,20 @@ def convert_valued(rows: DataFrame) -> DataFrame:
     return a.withColumn("reason", F.when(~F.col("_ok"), F.lit("Offset mismatch")).otherwise(F.col("_i.reason"))).withColumn("text_xml", F.when(F.col("reason").isNull(), F.col("_i.tagged"))).drop("_ok", "_i")
 
 
+def converted_rows(converted: DataFrame, limit: int | None = None) -> DataFrame:
+    """Tagged rows; limit counts the rows that validation and injection leave, not those read."""
+    kept = converted.where("reason is null")
+    return kept.limit(limit) if limit else kept
+
+
 def skip_reasons(converted: DataFrame) -> DataFrame:
     return converted.where("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy("reason")
 
 
 def convert_masked(rows: DataFrame, language: str = "en") -> DataFrame:
-    """Adds valid to the rows of one language: exact offsets of every span. Rows without spans are not valid."""
+    """Adds first_bad and valid to the rows of one language: exact offsets of every span. Rows without spans are not valid."""
     here = rows.where(F.col("language") == language)
-    return here.withColumn("valid", (F.size("privacy_mask") > 0) & S.offsets_valid(F.col("source_text"), F.col("privacy_mask")))
+    return here.withColumn("first_bad", S.first_wrong("source_text", "privacy_mask")).withColumn("valid", (F.size("privacy_mask") > 0) & (F.col("first_bad") < 0))
 
 
 def masked_rows(converted: DataFrame) -> DataFrame:
@@ -57,9 +63,8 @@ def masked_rows(converted: DataFrame) -> DataFrame:
 
 def _checked(converted: DataFrame) -> DataFrame:
     """Spans up to the first one with wrong offsets, and whether there is one."""
-    wrong = F.transform("privacy_mask", lambda s: F.coalesce(F.substring(F.col("source_text"), s["start"] + 1, s["end"] - s["start"]) != s["value"], F.lit(True)))
-    at = F.array_position(wrong, F.lit(True))
-    return converted.withColumn("bad", at > 0).withColumn("seen", F.when(at > 0, F.slice("privacy_mask", F.lit(1), at.cast("int") - 1)).otherwise(F.col("privacy_mask")))
+    bad = F.col("first_bad") >= 0
+    return converted.withColumn("bad", bad).withColumn("seen", F.when(bad, F.slice("privacy_mask", F.lit(1), F.col("first_bad"))).otherwise(F.col("privacy_mask")))
 
 
 def quality_counters(converted: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ are a prefix of one of the legal continuations, found by joining prefixes with t
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,52 +38,73 @@ def tokens_along(texts: DataFrame, vocab: DataFrame, text: str = "text") -> Data
     return texts.withColumn("token", F.explode(prefixes(F.col(text)))).join(vocab, "token")
 
 
-def replay(source: str, names: list[str], generated: str) -> tuple[int, str | None, int, str, bool]:
-    """(copied characters, open tag, where it opened, unfinished tag at the end, valid).
+class Progress(NamedTuple):
+    """How far a generated text has come: copied characters, open tag, where it opened, unfinished tag at the end, valid."""
 
-    A tag is read as markup unless the source itself goes on with it.
-    """
-    pattern = tag_pattern(names)
-    at, copied, opened, opened_at = 0, 0, None, 0
-    while at < len(generated):
-        m = pattern.match(generated, at)
-        if m and not source.startswith(m.group(0), copied):
-            closing, name = m.group(1) == "/", m.group(2)
-            if closing != (opened is not None) or closing and opened != name:
-                return copied, opened, opened_at, "", False
-            opened, opened_at = (None, opened_at) if closing else (name, copied)
-            at = m.end()
-        elif copied < len(source) and generated[at] == source[copied]:
-            at, copied = at + 1, copied + 1
-        else:
-            rest = generated[at:]
-            legal = any(len(rest) < len(tag) and tag.startswith(rest) for tag in legal_tags(names, opened))
-            return copied, opened, opened_at, rest if legal else "", legal
-    return copied, opened, opened_at, "", True
+    copied: int
+    opened: str | None
+    since: int
+    pending: str = ""
+    valid: bool = True
+
+
+def agreed(run: str, source: str, at: int) -> int:
+    """Length of the common prefix of run and source from at on."""
+    if source.startswith(run, at):
+        return len(run)
+    low, high = 0, len(run)  # they agree on low characters and not on high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if source.startswith(run[:mid], at) else (low, mid)
+    return low
 
 
 def legal_tags(names: list[str], opened: str | None) -> list[str]:
-    return [f"</{opened}>"] if opened is not None else [f"<{n}>" for n in sorted(names, key=len, reverse=True)]
+    return [f"</{opened}>"] if opened is not None else [f"<{n}>" for n in names]
+
+
+def replay(source: str, names: list[str], generated: str) -> Progress:
+    """Progress of a generated text, run by run: between tags it must agree with the source, and tags must be legal.
+
+    A tag with which the source itself goes on is part of the run, not markup.
+    """
+    parts = tag_pattern(names).split(generated)
+    runs, tags = parts[::3], [f"<{slash}{name}>" for slash, name in zip(parts[1::3], parts[2::3], strict=True)]
+    now, place = Progress(0, None, 0), 0  # place: characters of generated that now accounts for
+    for k, run in enumerate(runs):
+        literal = k > 0 and source.startswith(tags[k - 1], now.copied)
+        if k and not literal:
+            if tags[k - 1] not in legal_tags(names, now.opened):
+                return now._replace(valid=False)
+            place += len(tags[k - 1])
+            now = now._replace(opened=None) if now.opened is not None else now._replace(opened=tags[k - 1][1:-1], since=now.copied)
+        text = tags[k - 1] + run if literal else run
+        n = agreed(text, source, now.copied)
+        now, place = now._replace(copied=now.copied + n), place + n
+        if n < len(text):
+            rest = generated[place:]
+            begun = any(tag.startswith(rest) for tag in legal_tags(names, now.opened))
+            return now._replace(pending=rest if begun else "", valid=begun)
+    return now
 
 
 def continuations(source: str, names: list[str], generated: str) -> tuple[list[str], bool]:
-    """Texts that may follow, and whether the end may."""
-    copied, opened, opened_at, pending, valid = replay(source, names, generated)
-    if not valid:
+    """Texts that may follow, and whether the end may: a tag goes into the rest of the source at each place where one may stand."""
+    now = replay(source, names, generated)
+    if not now.valid:
         return [], True
-    rest = source[copied:]
-    tags = legal_tags(names, opened)
-    if pending:
-        out = [t[len(pending) :] + rest for t in tags if len(pending) < len(t) and t.startswith(pending) and (opened is not None or len(rest) >= LEAST_ENTITY)]
-        return out, not out
-    out = [rest] if rest else []
-    ahead = min(LOOKAHEAD, len(rest))
-    if opened is None:
-        places = [j for j in range(ahead) if len(rest) - j >= LEAST_ENTITY]
+    rest = source[now.copied :]
+    room, tags = len(rest), legal_tags(names, now.opened)
+    if now.pending:
+        finish = now.opened is not None or room >= LEAST_ENTITY
+        texts = [tag.removeprefix(now.pending) + rest for tag in tags if finish and tag.startswith(now.pending)]
+        return texts, not texts
+    if now.opened is None:
+        places = range(min(LOOKAHEAD, room - LEAST_ENTITY + 1))
     else:
-        places = range(max(0, LEAST_ENTITY - (copied - opened_at)), ahead + 1)
-    out += [rest[:j] + t + rest[j:] for t in tags for j in places]
-    return out, not out or (not rest and opened is None)
+        places = range(max(0, now.since + LEAST_ENTITY - now.copied), min(LOOKAHEAD, room) + 1)
+    texts = [rest[:j] + tag + rest[j:] for j in places for tag in tags] + [rest] * (room > 0)
+    return texts, not texts or room == 0 and now.opened is None
 
 
 @F.pandas_udf(schemas.STATE)

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions.sampling import between, draw, shuffled
+from ..schemas import SPANS_TYPE
 from .ranking import ranked
 
-# Dollars per million tokens (input, output) and budgets in dollars; both are parameters of every function.
-PRICES = {"large": (2.50, 15.00), "medium": (0.50, 3.00), "small": (0.375, 2.25), "nano": (0.10, 0.625)}
-BUDGETS = {"A": 2.60, "B": 3.00, "C": 0.25, "D": 3.00}
 AUDIT_TARGETS = r"</(occupation|date|date_time|time|date_of_birth)>"
 AUDIT_CHARS, AUDIT_ROWS, ADJUDICATED = 2600, 40_000, 300
+# Fixed value: what job D asks of every document after its labels.
+SYNTHESIS_RULES = "Tag only real values, never placeholders. Vary length (120-350 words), topic, formatting. Output the tagged document only. "
 
 
 def request(custom_id: Column, model: Column, system: Column, user: Column, max_tokens: Column) -> Column:
@@ -29,9 +31,11 @@ def request_id(job: str, ordinal: Column, digits: int) -> Column:
     return F.format_string(f"{job}-%0{digits}d", ordinal)
 
 
-def gold_list(text: Column, spans: Column) -> Column:
-    """JSON list of {i, text, label} of a row's spans."""
-    return F.to_json(F.transform(spans, lambda s, i: F.struct(i.alias("i"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text"), s["label"].alias("label"))))
+@F.pandas_udf(T.StringType())
+def gold_list(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """JSON list of {"i": number, "text": body, "label": label} of a row's spans, with a space after each mark, not escaped to ASCII."""
+    row = lambda t, x: [{"i": k, "text": t[s["start"] : s["end"]], "label": s["label"]} for k, s in enumerate(x if x is not None else ())]
+    return pd.Series([json.dumps(row(t or "", x), ensure_ascii=False) for t, x in zip(text, spans, strict=True)])
 
 
 def adjudication(parsed: DataFrame, system: str, model: str = "large", n: int = ADJUDICATED) -> DataFrame:
@@ -71,13 +75,16 @@ def synthesis(spark: SparkSession, families: list[tuple[str, str, int, int, str]
     rows = rows.withColumn("key", F.concat_ws("-", F.col("tag"), F.col("i").cast("string")))
     picked = F.slice(shuffled(seed, F.col("key"), "label", F.array(*map(F.lit, labels))), 1, between(seed, F.col("key"), "labels", 4, F.lit(8)))
     names = F.array_join(F.transform(picked, X.slug_words), ", ")
-    user = F.concat(F.col("brief"), F.lit("Wrap every entity matching these types in XML tags using exactly these tag names: "), names, F.lit(". Seed: "), F.pmod(draw(seed, F.col("key"), "seed"), F.lit(1_000_000_001)).cast("string"))
+    user = F.concat(F.col("brief"), F.lit("Wrap every entity matching these types in XML tags using exactly these tag names: "), names, F.lit(f". {SYNTHESIS_RULES}Seed: "), F.pmod(draw(seed, F.col("key"), "seed"), F.lit(1_000_000_001)).cast("string"))
     custom = F.concat(F.lit("D-"), F.col("tag"), F.format_string("-%04d", F.col("i")))
     return rows.select("tag", "i", request(custom, F.col("model"), F.lit(system), user, F.col("max_tokens")).alias("request")).select("tag", "i", "request.*")
 
 
-def costs(requests: DataFrame, answer_tokens: int, prices: dict[str, tuple[float, float]] = PRICES) -> DataFrame:
-    """Adds cost: estimated dollars of one request at four characters of escaped JSON a token."""
+def costs(requests: DataFrame, answer_tokens: int, prices: dict[str, tuple[float, float]]) -> DataFrame:
+    """Adds cost: estimated dollars of one request at four characters of escaped JSON a token.
+
+    prices: model -> dollars per million tokens read and written; a model that prices lacks has a null cost.
+    """
     table = F.create_map(*[F.lit(x) for m, (i, o) in prices.items() for x in (m, f"{i}|{o}")])
     price = F.split(F.try_element_at(table, F.col("body.model")), r"\|")
     tokens = X.escaped_length("body.messages") / 4 / 1e6
@@ -115,19 +122,69 @@ def trim_mixed(priced: DataFrame, order: str, budget: float) -> DataFrame:
     return rows.drop("_n")
 
 
-def usage_totals(results: DataFrame) -> DataFrame:
-    """model, n, failures, prompt_tokens, completion_tokens of prediction rows (model, output, error, prompt_tokens, completion_tokens); failed rows add no tokens."""
-    ok = F.col("error").isNull()
-    return results.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if(~ok).alias("failures"), *[F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0)).cast("bigint").alias(c) for c in ("prompt_tokens", "completion_tokens")])
+def batch_jobs(jobs: dict[str, DataFrame], budgets: dict[str, float], answer_tokens: dict[str, int], prices: dict[str, tuple[float, float]], order: str = "custom_id") -> dict[str, DataFrame]:
+    """Every job priced and trimmed to its budget: one of a single model by its first rows, one of several by dropping every tenth."""
+    out = {}
+    for name, requests in jobs.items():
+        priced = costs(requests, answer_tokens[name], prices).withColumn("_order", F.xxhash64(order) if order == "custom_id" else F.col(order))
+        several = priced.select("body.model").distinct().limit(2).count() > 1
+        out[name] = (trim_mixed if several else trim_single)(priced, "_order", budgets[name]).drop("_order")
+    return out
+
 
+def usage_totals(results: DataFrame) -> DataFrame:
+    """model, n, failures, prompt_tokens, completion_tokens of prediction rows (model, output, error, prompt_tokens, completion_tokens); failed rows add no tokens.
 
-def apply_verdicts(gold: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Corrected gold: verdicts (row_id, i, v, fix) drop spans that are no entity and relabel wrong labels; others stay."""
-    spans = gold.select("row_id", F.posexplode("spans").alias("i", "s"))
-    judged = spans.join(verdicts, ["row_id", "i"], "left").where("v is null or v <> 'not_entity'")
-    label = F.when(F.col("v") == "wrong_label", F.coalesce("fix", "s.label")).otherwise(F.col("s.label"))
-    kept = judged.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("s.end").alias("end"), label.alias("label")))).alias("spans"))
-    return gold.drop("spans").join(kept, "row_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,label:string>>")))
+    With a column seconds (begin and end of a run are not row data) the totals have seconds, the sum of the rows' times.
+    """
+    ok = F.col("error").isNull()
+    time = [F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds")] if "seconds" in results.columns else []
+    return results.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if(~ok).alias("failures"), *[F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0)).cast("bigint").alias(c) for c in ("prompt_tokens", "completion_tokens")], *time)
+
+
+@F.pandas_udf(SPANS_TYPE)
+def _judge(text: pd.Series, spans: pd.Series, verdicts: pd.Series, missed: pd.Series) -> pd.Series:
+    def row(t, spans, verdicts, missed):
+        judged = {v["i"]: (v["v"], v["fix"]) for v in verdicts}
+        out = []
+        for i, s in enumerate(spans):
+            v, fix = judged.get(i, ("ok", None))
+            start, end, label = s["start"], s["end"], s["label"]
+            if v == "not_entity":
+                continue
+            if v == "wrong_label":
+                label = fix or label
+            elif v == "wrong_boundary" and fix and t:
+                places = [k for k in range(max(0, start - len(fix)), end + 1) if t.startswith(fix, k)]
+                if places:
+                    start = min(places, key=lambda k: (abs(k - start), k))
+                    end = start + len(fix)
+            out.append((start, end, label))
+        for m in missed:
+            at = (t or "").find(m["text"]) if m["text"] else -1
+            while at >= 0 and any(at < e and s < at + len(m["text"]) for s, e, _ in out):
+                at = t.find(m["text"], at + 1)
+            if at >= 0:
+                out.append((at, at + len(m["text"]), m["label"]))
+        return [{"start": a, "end": b, "label": c} for a, b, c in sorted(out)]
+
+    given = [[x if x is not None else () for x in c] for c in (spans, verdicts, missed)]
+    return pd.Series([row(t, *r) for t, r in zip(text, zip(*given, strict=True), strict=True)])
+
+
+def apply_verdicts(gold: DataFrame, verdicts: DataFrame, missed: DataFrame | None = None) -> DataFrame:
+    """Corrected gold (row_id, text, spans): verdicts (row_id, i, v, fix) and missed spans (row_id, text, label).
+
+    not_entity drops a span; wrong_label gives it the label fix; wrong_boundary moves it to the place of the text fix nearest
+    to its start that touches it, and leaves it where there is none. A missed text becomes a span at its first place that no other span covers.
+    """
+    out = gold if "text" in gold.columns else gold.withColumn("text", F.lit(None).cast("string"))
+    out = out.join(verdicts.groupBy("row_id").agg(F.collect_list(F.struct("i", "v", "fix")).alias("_v")), "row_id", "left")
+    if missed is None:
+        out = out.withColumn("_m", F.array().cast("array<struct<text:string,label:string>>"))
+    else:
+        out = out.join(missed.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("text", "label"))).alias("_m")), "row_id", "left")
+    return out.withColumn("spans", _judge("text", "spans", "_v", "_m")).select(*gold.columns)
 
 
 def retry_delays(attempts: int = 5, first: float = 2.0) -> list[float]:
@@ -135,10 +192,37 @@ def retry_delays(attempts: int = 5, first: float = 2.0) -> list[float]:
     return [first * 2**k for k in range(attempts)]
 
 
+# Answers of a service that are worth another attempt.
+RETRY_STATUS = (429, 500, 502, 503)
+
+
+def next_attempt(status: int, request: dict, attempt: int, attempts: int = 5) -> tuple[dict | None, float]:
+    """The request to send after a failed attempt (from 0) and the seconds to wait before it; None if there is none.
+
+    After 400 the newer name of the token limit gives way to the older one, then the reasoning effort is left out.
+    """
+    if attempt + 1 >= attempts:
+        return None, 0.0
+    if status in RETRY_STATUS:
+        return request, retry_delays(attempts)[attempt]
+    if status == 400 and "max_completion_tokens" in request:
+        return {k if k != "max_completion_tokens" else "max_tokens": v for k, v in request.items()}, 0.0
+    if status == 400 and "reasoning_effort" in request:
+        return {k: v for k, v in request.items() if k != "reasoning_effort"}, 0.0
+    return None, 0.0
+
+
+_ANSWER = "verdicts array<struct<i: int, v: string, fix: string>>, missed array<struct<text: string, label: string>>"
+
+
 def parse_verdicts(answers: DataFrame) -> DataFrame:
     """row_id, i, v, fix from JSON answers of job A."""
-    schema = "verdicts array<struct<i: int, v: string, fix: string>>"
-    return answers.select("row_id", F.explode(F.from_json("answer", schema)["verdicts"]).alias("v")).select("row_id", "v.*")
+    return answers.select("row_id", F.explode(F.from_json("answer", _ANSWER)["verdicts"]).alias("v")).select("row_id", "v.*")
+
+
+def parse_missed(answers: DataFrame) -> DataFrame:
+    """row_id, text, label of the spans that answers of job A miss in gold."""
+    return answers.select("row_id", F.explode(F.from_json("answer", _ANSWER)["missed"]).alias("m")).select("row_id", "m.*")
 
 
 def to_lines(requests: DataFrame) -> DataFrame:

@@ -1,26 +1,28 @@
 """Scoring of tagged predictions against gold: positional join, parse, exact and relaxed matches, tallies.
 
-Spans stay in arrays beside their document while rows are parsed and matched; they are exploded only for tallies by
-label, where one two-phase aggregation over few keys is all that is shuffled.
+Spans stay in arrays beside their document: a row's exact matches are counted per label, and its relaxed ones, in one Arrow
+pass over the row. What is exploded and shuffled are sums by label or source, by one two-phase aggregation over few keys.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import spans as S
 from ..functions import text as X
 from ..functions.labels import canonical
 
 
-def positional_join(gold: DataFrame, pred: DataFrame, key: str = "row_id", check: bool = True) -> DataFrame:
-    """Gold row i beside prediction row i. With check, differing counts raise."""
-    if check:
-        a, b = gold.count(), pred.count()
-        if a != b:
-            raise ValueError(f"prediction rows ({b}) != gold rows ({a})")
-    return gold.join(pred, key)
+def positional_join(gold: DataFrame, pred: DataFrame, key: str = "row_id") -> DataFrame:
+    """Gold row i beside prediction row i. A row that only one side has raises when it is met, so none is lost silently."""
+    both = gold.withColumn("_gold", F.lit(True)).join(pred.withColumn("_pred", F.lit(True)), key, "full")
+    lone = F.raise_error(F.concat(F.lit("prediction rows != gold rows, at row "), F.col(key).cast("string"))).cast("boolean")
+    return both.where(F.when(F.col("_gold") & F.col("_pred"), F.lit(True)).otherwise(lone)).drop("_gold", "_pred")
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -45,51 +47,79 @@ def parsed_rows(rows: DataFrame, maps: dict) -> DataFrame:
     return b.select("row_id", "source", "text", bad.alias("bad"), gold.alias("gold"), F.transform("p.spans", name).alias("any_pred")).withColumn("pred", F.when(F.col("bad").isNull(), F.col("any_pred")))
 
 
-def exact_events(parsed: DataFrame) -> DataFrame:
-    """row_id, source, label, tp, fp, fn: multiset matches on (start, end, label); all gold of a bad row is missed."""
-    g = parsed.select("row_id", "source", F.explode("gold").alias("s"), F.lit(1).alias("g"), F.lit(0).alias("p"))
-    p = parsed.where("bad is null").select("row_id", "source", F.explode("pred").alias("s"), F.lit(0).alias("g"), F.lit(1).alias("p"))
-    counted = g.union(p).groupBy("row_id", "source", "s").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
-    tp = F.least("g", "p")
-    return counted.select("row_id", "source", F.col("s.label").alias("label"), tp.alias("tp"), (F.col("p") - tp).alias("fp"), (F.col("g") - tp).alias("fn"))
+_COUNTS = [T.StructField(c, T.LongType()) for c in ("tp", "fp", "fn")]
+_TALLY = T.StructType([T.StructField("labels", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), *_COUNTS]))), T.StructField("relaxed", T.LongType())])
+
+
+@F.pandas_udf(_TALLY)
+def _tally(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
+    """Of each row: exact multiset matches by label, in order of appearance, and the number of relaxed ones."""
+
+    def labels(gold, pred):
+        g, p = (Counter((s["start"], s["end"], s["label"]) for s in spans) for spans in (gold, pred))
+        out = {label: [0, 0, 0] for *_, label in [*g, *p]}
+        for span in g | p:
+            hit = min(g[span], p[span])
+            for k, n in enumerate((hit, p[span] - hit, g[span] - hit)):
+                out[span[2]][k] += n
+        return [{"label": label, "tp": tp, "fp": fp, "fn": fn} for label, (tp, fp, fn) in out.items()]
+
+    pairs = [[x if x is not None else () for x in pair] for pair in zip(gold, pred, strict=True)]
+    return pd.DataFrame({"labels": [labels(*x) for x in pairs], "relaxed": [S.relaxed_count(*x) for x in pairs]})
+
+
+def tallied(parsed: DataFrame) -> DataFrame:
+    """parsed_rows with labels (exact tp, fp, fn of each label), exact and relaxed (tp, fp, fn); all gold of a bad row is missed."""
+    a = parsed.withColumn("_t", _tally("gold", "pred"))
+    total = lambda c: F.aggregate(F.col("_t.labels"), F.lit(0).cast("bigint"), lambda n, x: n + x[c]).alias(c)
+    hit, n_pred = F.col("_t.relaxed"), F.coalesce(F.size("pred"), F.lit(0))
+    relaxed = F.struct(hit.alias("tp"), (F.when(F.col("bad").isNull(), n_pred).otherwise(F.lit(0)) - hit).alias("fp"), (F.size("gold") - hit).alias("fn"))
+    return a.select(*parsed.columns, F.col("_t.labels").alias("labels"), F.struct(*map(total, ("tp", "fp", "fn"))).alias("exact"), relaxed.alias("relaxed"))
 
 
-def relaxed_events(parsed: DataFrame) -> DataFrame:
-    """row_id, source, tp, fp, fn of greedy one-to-one overlap matches."""
-    hits = F.when(F.col("bad").isNull(), S.relaxed_match_count("gold", F.coalesce("pred", F.array().cast("array<struct<start:int,end:int,label:string>>")))).otherwise(F.lit(0))
-    n_pred = F.when(F.col("bad").isNull(), F.size("pred")).otherwise(F.lit(0))
-    return parsed.select("row_id", "source", "bad", hits.alias("tp"), F.size("gold").alias("n"), n_pred.alias("m")).select("row_id", "source", "bad", F.col("tp").cast("bigint").alias("tp"), (F.col("m") - F.col("tp")).cast("bigint").alias("fp"), (F.col("n") - F.col("tp")).cast("bigint").alias("fn"))
+def _sums(of: str = "", where: Column | None = None, to: str = "") -> list[Column]:
+    value = lambda c: F.col(f"{of}{c}") if where is None else F.when(where, F.col(f"{of}{c}"))
+    return [F.coalesce(F.sum(value(c)), F.lit(0)).cast("bigint").alias(f"{to}{c}") for c in ("tp", "fp", "fn")]
+
+
+def _ops() -> list[Column]:
+    return [F.count(F.lit(1)).alias("rows"), F.count_if(F.col("bad") == "malformed").alias("malformed"), F.count_if(F.col("bad") == "copy_drift").alias("copy_drift"), F.lit(0).cast("bigint").alias("unrequested_tags")]
 
 
 def ops_counters(parsed: DataFrame) -> DataFrame:
     """rows, malformed, copy_drift, and unrequested_tags, which is always 0."""
-    return parsed.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("bad") == "malformed").alias("malformed"), F.count_if(F.col("bad") == "copy_drift").alias("copy_drift"), F.lit(0).cast("bigint").alias("unrequested_tags"))
+    return parsed.agg(*_ops())
+
+
+TALLIES = ("strict_exact", "strict_relaxed", "parseable_exact", "parseable_relaxed")
+
+
+def summary(parsed: DataFrame) -> DataFrame:
+    """One row: the operation counters, and tp, fp, fn of every tally as {tally}_{count}; one aggregation over one evaluation of the rows."""
+    sums = []
+    for tally in TALLIES:
+        rows, mode = tally.split("_")
+        sums += _sums(f"{mode}.", F.col("bad").isNull() if rows == "parseable" else None, f"{tally}_")
+    return tallied(parsed).agg(*_ops(), *sums)
 
 
 def micro(parsed: DataFrame) -> DataFrame:
     """One row per tally: strict_exact, strict_relaxed, parseable_exact, parseable_relaxed."""
-    exact = exact_events(parsed).join(parsed.select("row_id", "bad"), "row_id")
-    sums = lambda df: df.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fp", "fn")])
-    relaxed = relaxed_events(parsed)
-    out = None
-    for name, df in (("strict_exact", exact), ("strict_relaxed", relaxed), ("parseable_exact", exact.where("bad is null")), ("parseable_relaxed", relaxed.where("bad is null"))):
-        one = sums(df).select(F.lit(name).alias("tally"), "tp", "fp", "fn")
-        out = one if out is None else out.union(one)
-    return out.select("*", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+    each = ", ".join(f"'{t}', {t}_tp, {t}_fp, {t}_fn" for t in TALLIES)
+    return summary(parsed).selectExpr(f"stack({len(TALLIES)}, {each}) AS (tally, tp, fp, fn)").select("*", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
 def by_label(parsed: DataFrame, supported_only: bool = False) -> DataFrame:
-    """label, support, tp, fp, fn, p, r, f1 of exact strict matches; worst first."""
-    t = exact_events(parsed).groupBy("label").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn")])
+    """label, support, tp, fp, fn, p, r, f1 of exact strict matches; worst first, equal ones in order of their first row."""
+    t = tallied(parsed).select("row_id", F.posexplode("labels").alias("pos", "t")).select("row_id", "pos", "t.*")
+    t = t.groupBy("label").agg(*_sums(), F.min(F.struct("row_id", "pos")).alias("first"))
     t = t.where("tp + fn > 0") if supported_only else t
-    return t.select("label", (F.col("tp") + F.col("fn")).alias("support"), "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn"))).orderBy("f1", "label")
+    return t.select("label", (F.col("tp") + F.col("fn")).alias("support"), "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")), "first").orderBy("f1", "first").drop("first")
 
 
 def by_source(parsed: DataFrame) -> DataFrame:
     """source, rows (bad ones too), tp, fp, fn, p, r, f1 of exact strict matches; by name."""
-    t = exact_events(parsed).groupBy("source").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn")])
-    n = parsed.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
-    t = n.join(t, "source", "left").fillna(0)
+    t = tallied(parsed).groupBy("source").agg(F.count(F.lit(1)).alias("rows"), *_sums("exact."))
     return t.select("source", "rows", "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn"))).orderBy("source")
 
 
@@ -104,20 +134,20 @@ def metrics(parsed: DataFrame) -> dict:
 
 
 def report_lines(parsed: DataFrame) -> list[str]:
-    """The fixed-width text report."""
+    """A fixed-width text report."""
     parsed = parsed.cache()
     ops = ops_counters(parsed).first()
     n = max(1, ops["rows"])
-    lines = [f"rows scored           {ops['rows']}", f"malformed output      {ops['malformed']} ({ops['malformed'] / n:.1%})", f"copy drift            {ops['copy_drift']} ({ops['copy_drift'] / n:.1%})", ""]
+    lines = [f"rows                  {ops['rows']}", f"malformed output      {ops['malformed']} ({ops['malformed'] / n:.1%})", f"copy drift            {ops['copy_drift']} ({ops['copy_drift'] / n:.1%})", ""]
     t = {r["tally"]: r for r in micro(parsed).collect()}
-    for title, kind in (("STRICT (headline)", "strict"), ("parseable rows only", "parseable")):
+    for title, kind in (("all rows, bad ones missed:", "strict"), ("sound rows only:", "parseable")):
         lines.append(title)
-        for mode, note in (("exact", ""), ("relaxed", "   (overlap, same label)")):
+        for mode, note in (("exact", ""), ("relaxed", "  any overlap")):
             r = t[f"{kind}_{mode}"]
             lines.append(f"  {mode:<7} P {r['p']:.3f}  R {r['r']:.3f}  F1 {r['f1']:.3f}{note}")
-    lines += ["", "per source (exact, strict):"]
+    lines += ["", "sources, by exact matches over all rows:"]
     lines += [f"  {r['source']:<10} rows {r['rows']:>6}  P {r['p']:.3f}  R {r['r']:.3f}  F1 {r['f1']:.3f}" for r in by_source(parsed).collect()]
-    lines += ["", "per label (exact, strict), worst first:"]
+    lines += ["", "labels, lowest F1 first:"]
     lines += [f"  {r['label']:<45} support {r['support']:>5}  P {r['p']:.3f}  R {r['r']:.3f}  F1 {r['f1']:.3f}" for r in by_label(parsed, supported_only=True).collect()]
     parsed.unpersist()
     return lines
@@ -126,5 +156,5 @@ def report_lines(parsed: DataFrame) -> list[str]:
 def self_test(rows: DataFrame, maps: dict) -> DataFrame:
     """Gold scored against itself: ok is true if all is 1 and no row is bad."""
     parsed = parsed_rows(rows.withColumn("output", F.get("messages", F.lit(2))["content"]), maps)
-    m = micro(parsed).where("tally = 'strict_exact'").select("p", "r", "f1")
-    return ops_counters(parsed).join(m).select("rows", ((F.col("p") == 1) & (F.col("r") == 1) & (F.col("f1") == 1) & (F.col("malformed") == 0) & (F.col("copy_drift") == 0)).alias("ok"))
+    perfect = (F.col("strict_exact_tp") > 0) & (F.col("strict_exact_fp") + F.col("strict_exact_fn") + F.col("malformed") + F.col("copy_drift") == 0)
+    return summary(parsed).select("rows", perfect.alias("ok"))

@@ -76,13 +76,13 @@ TAGGED = f"""{HITS},
 TEXT_AT = "d.text[{a} + 1:{b}]"
 
 THOUGHTS = """t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '  <think>a' || chr(10) || 'b</think>' || chr(10) || chr(10) || h WHEN 1 THEN 'x' || chr(10) || '<think>a</think> ' || h
- WHEN 2 THEN 'a</think>' || chr(10) || h || '</think>z' ELSE h END AS t FROM (SELECT doc_id, substr(text, 1, 40) AS h FROM documents))"""
+ WHEN 2 THEN 'a</think>' || chr(10) || h || '</think>z' ELSE h END AS t FROM (SELECT doc_id, text AS h FROM documents))"""
 
 DATES = arr(L.DATE_FAMILY)
-#: sp: the sparse spans that the mixture queries use.
+#: sp: the relabelled spans that the mixture queries use.
 SPARSE = f"""{HITS},
  sp AS (SELECT doc_id, source, i, b, e, body, CASE WHEN label = 'proper_word' AND i % 2 = 0 THEN {DATES}[(doc_id % 4 + 1)::INTEGER] WHEN label = 'proper_word' THEN 'city' ELSE label END AS label
-        FROM s WHERE label <> 'proper_word' OR (doc_id % 7 = 0 AND i < 6)),
+        FROM s WHERE label <> 'proper_word' OR doc_id % 7 <> 0),
  pres AS (SELECT d.doc_id, d.source, coalesce(l.present, ([]::VARCHAR[])) AS present FROM documents d LEFT JOIN (SELECT doc_id, list_sort(list_distinct(list(label))) AS present FROM sp GROUP BY doc_id) l USING (doc_id))"""
 
 
@@ -154,7 +154,7 @@ def _synthesis(families: list[tuple[str, str, int, str]], seed: int = 20260718)
     picked_labels = f"({shuffled(seed, 'key', 'label', arr(L.VOCABULARY))})[1:{between(seed, 'key', 'labels', 4, '8')}]"
     return f"""WITH f AS ({rows}), g AS (SELECT *, tag || '-' || i AS key FROM f)
         SELECT printf('D-%s-%04d', tag, i) AS custom_id, model, md5(brief || 'Wrap every entity matching these types in XML tags using exactly these tag names: ' || array_to_string(list_transform({picked_labels}, lambda y: replace(y, '_', ' ')), ', ')
-               || '. Seed: ' || ({draw(seed, 'key', 'seed')} % 1000000001)) AS user_md5 FROM g"""
+               || '. ' || {q(jobs.SYNTHESIS_RULES)} || 'Seed: ' || ({draw(seed, 'key', 'seed')} % 1000000001)) AS user_md5 FROM g"""
 
 
 def _plan_query(version: int) -> str:
@@ -169,9 +169,31 @@ def _user_a(text: str = "text") -> str:
 
 
 ADJ = f"""{HITS},
- gj AS (SELECT doc_id, string_agg('{{"i":' || i || ',"text":' || to_json(body) || ',"label":"' || label || '"}}', ',' ORDER BY i) AS gl FROM s GROUP BY doc_id),
+ gj AS (SELECT doc_id, string_agg('{{"i": ' || i || ', "text": ' || to_json(body) || ', "label": "' || label || '"}}', ', ' ORDER BY i) AS gl FROM s GROUP BY doc_id),
  adj AS (SELECT d.doc_id AS row_id, {_user_a('d.text')} AS u FROM documents d LEFT JOIN gj USING (doc_id))"""
 
+VOCAB_ROWS = ", ".join(f"({i}, {q(t)})" for i, t in enumerate(VOCAB))
+#: st: the automaton after half of each text and, by row number, nothing, a tag, the beginning of one, all in a tag, or a stray mark.
+STATES = """h0 AS (SELECT doc_id, doc_id % 5 AS k, text AS src, substr(text, 1, length(text) // 2) AS h FROM documents),
+ h1 AS (SELECT *, substr(src, length(h) + 1, 3) AS nx FROM h0),
+ h2 AS (SELECT *, CASE WHEN k = 2 THEN CASE WHEN nx = '<na' THEN 3 WHEN substr(nx, 1, 2) = '<n' THEN 2 WHEN substr(nx, 1, 1) = '<' THEN 1 ELSE 0 END WHEN k = 4 AND substr(nx, 1, 1) = '#' THEN 1 ELSE 0 END AS more FROM h1),
+ st AS (SELECT doc_id, src, CASE WHEN k = 3 THEN length(src) ELSE length(h) + more END AS copy_pos, CASE WHEN k = 1 THEN 'email' END AS open_tag, CASE WHEN k = 1 THEN length(h) ELSE 0 END AS open_pos,
+   CASE WHEN k = 2 AND more = 0 THEN '<na' ELSE '' END AS pending, CASE k WHEN 2 THEN more IN (0, 3) WHEN 4 THEN more = 1 ELSE TRUE END AS valid FROM h2)"""
+PRICES = {"large": (2.0, 8.0), "small": (0.4, 1.6), "nano": (0.1, 0.4)}
+
+
+def price(model: str, chars: str = "chars") -> str:
+    read, written = PRICES[model]
+    return f"({chars} / 4 / 1e6 * {read} + 350 / 1e6 * {written})"
+
+
+#: cost of every job-A request: the length of its messages as JSON escaped to ASCII, in which a mark takes two characters, a control or
+#: other character six, and one beyond the basic plane twelve.
+COST = f"""{ADJ},
+ ln AS (SELECT row_id, length(u) + length(regexp_replace(u, '[^"\\\\\\n\\r\\t\\f\\x08]', '', 'g')) + 5 * length(regexp_replace(u, '[\\x20-\\x7E\\n\\r\\t\\f\\x08]', '', 'g'))
+          + 6 * length(regexp_replace(u, '[\\x{{0}}-\\x{{FFFF}}]', '', 'g')) + length('[{{"role": "system", "content": "You audit span annotations."}}, {{"role": "user", "content": ""}}]') AS chars FROM adj),
+ cost AS (SELECT row_id, chars, {price('large')} AS cost FROM ln)"""
+
 ORACLES = {
     "lang_slice": "SELECT doc_id, source FROM documents WHERE lang = 'en'",
     "first_n_scan": "SELECT doc_id AS row_id, lang FROM documents WHERE doc_id < 100",
@@ -225,18 +247,18 @@ ORACLES = {
         y AS (SELECT z.doc_id, z.bad, n, pr, rc, np, tl FROM z LEFT JOIN lost USING (doc_id))
         SELECT doc_id AS row_id, round(CASE WHEN bad = 'copy_drift' THEN 0.0 WHEN bad = 'malformed' THEN CASE WHEN coalesce(tl, 0) = 0 THEN CASE WHEN n = 0 AND np = 1 THEN 1.0 ELSE 0.0 END ELSE 2 * (tl / (np - 1)) * (tl / n) / (tl / (np - 1) + tl / n) END
                WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END, 6)::DOUBLE AS reward FROM y""",
-    "think_strip_a": rf"WITH {THOUGHTS} SELECT doc_id, regexp_replace(t, '(?m)^\s*<think>(?s:.*?)</think>\s*', '') AS answer FROM t",
-    "think_strip_b": rf"WITH {THOUGHTS} SELECT doc_id, regexp_replace(t, '(?s)\A\s*<think>.*?</think>\s*', '') AS answer FROM t",
-    "think_strip_c": rf"WITH {THOUGHTS} SELECT doc_id, regexp_replace(t, '(?s)\A.*?</think>\s*', '') AS answer FROM t",
-    "think_gate": f"""WITH {THOUGHTS} SELECT doc_id, CASE WHEN contains(t, '</think>') THEN 'answer' WHEN length(t) >= 60 THEN 'close' ELSE 'free' END AS phase,
-        CASE WHEN contains(t, '</think>') THEN ltrim(substr(t, strpos(t, '</think>') + 8), chr(10)) END AS answer FROM t""",
+    "think_strip_a": rf"WITH {THOUGHTS} SELECT doc_id, length(a)::BIGINT AS n_chars, md5(a) AS answer_md5 FROM (SELECT doc_id, regexp_replace(t, '(?m)^\s*<think>(?s:.*?)</think>\s*', '') AS a FROM t)",
+    "think_strip_b": rf"WITH {THOUGHTS} SELECT doc_id, length(a)::BIGINT AS n_chars, md5(a) AS answer_md5 FROM (SELECT doc_id, regexp_replace(t, '(?s)\A\s*<think>.*?</think>\s*', '') AS a FROM t)",
+    "think_strip_c": rf"WITH {THOUGHTS} SELECT doc_id, length(a)::BIGINT AS n_chars, md5(a) AS answer_md5 FROM (SELECT doc_id, regexp_replace(t, '(?s)\A.*?</think>\s*', '') AS a FROM t)",
+    "think_gate": f"""WITH {THOUGHTS}, g AS (SELECT doc_id, t, CASE WHEN contains(t, '</think>') THEN ltrim(substr(t, strpos(t, '</think>') + 8), chr(10)) END AS a FROM t)
+        SELECT doc_id, CASE WHEN contains(t, '</think>') THEN 'answer' WHEN length(t) >= 600 THEN 'close' ELSE 'free' END AS phase, length(a)::BIGINT AS n_chars, md5(a) AS answer_md5 FROM g""",
     "names_normalise": "SELECT doc_id, array_to_string(list_distinct_ordered, '|') AS names FROM (SELECT doc_id, [lang, source, 'e-mail'] AS list_distinct_ordered FROM documents)",
     "request_roundtrip": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || chr(10) || chr(10) || 'Text:' || chr(10) || lang ELSE source END AS t, 'email|phone number' AS names FROM documents",
     "output_budgets": "SELECT doc_id, least(16000, floor(n_chars / 2.5) + 1500)::BIGINT AS baseline, least(6144, n_chars + 512)::BIGINT AS evaluate, least(6144, n_chars + 256)::BIGINT AS serve, least(floor(n_chars / 2) + 512, 4096)::BIGINT AS generate FROM documents",
     "chat_triples": "SELECT conv_id, count(*) AS n, md5(string_agg(role || ':' || coalesce(text, ''), chr(10) ORDER BY turn, role, text)) AS digest FROM conversations GROUP BY conv_id",
     "request_plan_v1": _plan_query(1),
     "request_plan_v2": _plan_query(2),
-    "alias_pick": f"WITH d AS (SELECT page_id AS row_id, CASE WHEN page_id % 2 = 0 THEN '<link></time of day>' || substr(html, 1, 200) ELSE substr(html, 1, 200) END AS text FROM pages) SELECT row_id, array_to_string({picked(mixture.SEED_V1, 'row_id', arr(L.VOCABULARY), 'text')}, ',') AS names FROM d",
+    "alias_pick": f"WITH d AS (SELECT page_id AS row_id, CASE WHEN page_id % 2 = 0 THEN '<any url></time mention>' || html ELSE html END AS text FROM pages) SELECT row_id, array_to_string({picked(mixture.SEED_V1, 'row_id', arr(L.VOCABULARY), 'text')}, ',') AS names FROM d",
     "negative_cap": f"""WITH RECURSIVE {SPARSE}, neg AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS o, len(present) = 0 AS negative, doc_id % 11 <> 0 AS emits FROM pres),
         w AS (SELECT source, o, doc_id, negative::INTEGER AS k, TRUE AS kept, emits::INTEGER AS emitted FROM neg WHERE o = 1
               UNION ALL SELECT neg.source, neg.o, neg.doc_id, w.k + negative::INTEGER, NOT negative OR w.k + 1 <= greatest(5, 0.1 * (w.emitted + 1)),
@@ -251,12 +273,32 @@ ORACLES = {
         tg AS (SELECT doc_id, string_agg(piece, '' ORDER BY b) AS t, max(e) AS last FROM pc GROUP BY doc_id),
         tx AS (SELECT d.doc_id, coalesce(t, '') || substr(text, coalesce(last, 0) + 1) AS t FROM documents d LEFT JOIN tg USING (doc_id)),
         o AS (SELECT doc_id, t, row_number() OVER (ORDER BY {draw(20260718, 'doc_id', 'audit')}, doc_id) - 1 AS n FROM tx WHERE regexp_matches(t, {q(jobs.AUDIT_TARGETS)}) AND length(t) <= {jobs.AUDIT_CHARS})
-        SELECT doc_id AS row_id, printf('B-%05d', n) AS custom_id, md5(t) AS user_md5 FROM o WHERE n < 40""",
+        SELECT doc_id AS row_id, printf('B-%05d', n) AS custom_id, md5(t) AS user_md5 FROM o WHERE n < {jobs.AUDIT_ROWS}""",
     "job_synthesis": _synthesis([("dlog", "nano", 110, "Write a log. "), ("form", "small", 70, "Write a form. "), ("prose", "small", 70, "Write prose. ")]),
-    "automaton_state": """WITH s AS (SELECT doc_id, substr(text, 1, 30) AS src, substr(text, 1, 10) AS h FROM documents)
-        SELECT doc_id AS row_id, (CASE WHEN doc_id % 5 = 3 THEN length(src) WHEN doc_id % 5 = 4 AND substr(src, length(h) + 1, 1) = '#' THEN length(h) + 1 ELSE length(h) END)::INTEGER AS copy_pos,
-               CASE WHEN doc_id % 5 = 1 THEN 'email' END AS open_tag, (CASE WHEN doc_id % 5 = 1 THEN length(h) ELSE 0 END)::INTEGER AS open_pos,
-               CASE WHEN doc_id % 5 = 2 THEN '<na' ELSE '' END AS pending, doc_id % 5 <> 4 OR substr(src, length(h) + 1, 1) = '#' AS valid FROM s""",
+    "automaton_state": f"WITH {STATES} SELECT doc_id AS row_id, copy_pos::INTEGER AS copy_pos, open_tag, open_pos::INTEGER AS open_pos, pending, valid FROM st",
+    "allowed_tokens": f"""WITH {STATES}, v AS (SELECT * FROM (VALUES {VOCAB_ROWS}) t(id, token)),
+        x AS (SELECT doc_id, substr(src, copy_pos + 1) AS rest, length(src) - copy_pos AS room, open_tag, copy_pos - open_pos AS inside, pending, valid FROM st),
+        texts AS (
+          SELECT doc_id, rest AS t FROM x WHERE valid AND pending = '' AND room > 0
+          UNION ALL SELECT doc_id, substr(rest, 1, j) || tag || substr(rest, j + 1) FROM x, (VALUES ('<email>'), ('<name>')) g(tag), range(8) r(j) WHERE valid AND pending = '' AND open_tag IS NULL AND room - j >= 2
+          UNION ALL SELECT doc_id, substr(rest, 1, j) || '</' || open_tag || '>' || substr(rest, j + 1) FROM x, range(9) r(j) WHERE valid AND pending = '' AND open_tag IS NOT NULL AND j <= room AND inside + j >= 2
+          UNION ALL SELECT doc_id, 'me>' || rest FROM x WHERE valid AND pending = '<na' AND room >= 2),
+        f AS (SELECT DISTINCT doc_id, id FROM texts JOIN v ON starts_with(t, token)),
+        e AS (SELECT doc_id, 1000 AS id FROM x WHERE NOT valid OR (pending = '' AND open_tag IS NULL AND room = 0) OR doc_id NOT IN (SELECT doc_id FROM f)),
+        a AS (SELECT * FROM f UNION SELECT * FROM e)
+        SELECT doc_id AS row_id, count(*) AS n, sum(id)::BIGINT AS ids FROM a GROUP BY doc_id""",
+    "job_cost": f"WITH {COST} SELECT row_id, round(cost, 9) AS cost FROM cost",
+    "job_cost_by_model": f"""WITH {COST}, m AS (SELECT CASE WHEN row_id % 2 = 0 THEN 'nano' ELSE 'small' END AS model, CASE WHEN row_id % 2 = 0 THEN {price('nano')} ELSE {price('small')} END AS cost FROM cost)
+        SELECT model, count(*) AS n, round(sum(cost), 6) AS cost FROM m GROUP BY ROLLUP (model)""",
+    "job_trim": f"""WITH RECURSIVE {COST}, c AS (SELECT row_id, row_number() OVER (ORDER BY row_id) AS rn, sum(cost) OVER (ORDER BY row_id) AS cum FROM cost),
+        whole AS (SELECT sum(cost) / 3 AS budget, count(*) AS n, sum(cost) AS cost FROM cost),
+        t AS (SELECT 0 AS turn, n, cost, budget FROM whole UNION ALL
+              SELECT turn + 1, floor(t.n * t.budget / t.cost * 0.97)::BIGINT, (SELECT coalesce(max(cum), 0) FROM c WHERE rn <= floor(t.n * t.budget / t.cost * 0.97)), t.budget FROM t WHERE t.cost > t.budget AND t.n > 10)
+        SELECT row_id FROM c WHERE rn <= (SELECT arg_max(n, turn) FROM t)""",
+    "job_trim_mixed": f"""WITH RECURSIVE {COST}, c AS (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS n, cost FROM cost), whole AS (SELECT sum(cost) * 0.75 AS budget FROM cost),
+        t AS (SELECT 0 AS turn, row_id, n, cost, sum(cost) OVER () AS total FROM c UNION ALL
+              SELECT turn + 1, row_id, n - n // 10 - 1, cost, sum(cost) OVER () FROM (SELECT t.* FROM t, whole WHERE total > budget AND n % 10 <> 0))
+        SELECT row_id FROM t WHERE turn = (SELECT max(turn) FROM t)""",
     "prefix_tokens": "WITH v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {q(t)})" for i, t in enumerate(VOCAB)) + ") t(id, token)) SELECT doc_id, count(*) AS n, sum(id)::BIGINT AS ids FROM documents JOIN v ON starts_with(text, token) GROUP BY doc_id",
     "tag_requests": f"""WITH {HITS}, x AS (SELECT doc_id, sum(2 * length(label) + 5) AS more FROM s WHERE label IN ('email', 'phone_number') GROUP BY doc_id)
         SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'need text and at least one entity type' END AS error, 'email,phone number' AS names, CASE WHEN doc_id % 10 <> 0 THEN TRUE END AS faithful,

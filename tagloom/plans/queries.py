@@ -22,6 +22,7 @@ EDIT_SEED = 7
 NAMES = [x.replace("_", " ") for x in L.RULE_LABELS]
 MAPS = {f"src{i}": L.default_aliases(L.RULE_LABELS) for i in range(0, 20, 2)}  # odd sources are unknown: their names stay
 AUDITOR = "You audit span annotations."
+PRICES = {"large": (2.0, 8.0), "small": (0.4, 1.6), "nano": (0.1, 0.4)}
 _SPANS = "array<struct<start:int,end:int,label:string>>"
 
 
@@ -70,7 +71,7 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = _gold(spark, sf_dir).select("row_id", "source", "messages")
-    return scoring.parsed_rows(scoring.positional_join(gold, _predictions(spark, sf_dir), check=False), MAPS)
+    return scoring.parsed_rows(scoring.positional_join(gold, _predictions(spark, sf_dir)), MAPS)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -163,8 +164,8 @@ def context_snippets(spark, sf_dir):
 
 def _masked(spark, sf_dir):
     """Documents as masked rows; some values are wrong."""
-    d = _docs(spark, sf_dir)
-    value = lambda s, i: F.when(F.pmod(draw(EDIT_SEED, F.col("row_id"), "value", i), F.lit(100)) == 0, F.lit("?")).otherwise(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
+    d = _docs(spark, sf_dir).withColumn("bodies", S.bodies("text", "spans"))
+    value = lambda s, i: F.when(F.pmod(draw(EDIT_SEED, F.col("row_id"), "value", i), F.lit(100)) == 0, F.lit("?")).otherwise(F.get("bodies", i))
     return d.select(F.col("text").alias("source_text"), F.transform("spans", lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), value(s, i).alias("value"), s["label"].alias("label"))).alias("privacy_mask"), F.col("lang").alias("language"), F.col("row_id").cast("string").alias("uid"))
 
 
@@ -183,16 +184,16 @@ def label_frequency(spark, sf_dir):
 
 def skip_reasons(spark, sf_dir):
     """Loose validation and injection of stretched, partly wrong spans."""
-    d = _stretched(spark, sf_dir)
-    value = lambda s, i: F.when(F.pmod(draw(EDIT_SEED, F.col("row_id"), "value", i), F.lit(100)) == 0, F.lit("?")).otherwise(F.upper(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
+    d = _stretched(spark, sf_dir).withColumn("bodies", S.bodies("text", "spans"))
+    value = lambda s, i: F.when(F.pmod(draw(EDIT_SEED, F.col("row_id"), "value", i), F.lit(100)) == 0, F.lit("?")).otherwise(F.upper(F.get("bodies", i)))
     valued = F.transform("spans", lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), value(s, i).alias("value"), s["label"].alias("label")))
     return converters.skip_reasons(converters.convert_valued(d.withColumn("spans", valued)))
 
 
 def literal_spans(spark, sf_dir):
     """Spans written as Python literals and read back."""
-    d = _docs(spark, sf_dir)
-    one = lambda s: F.concat(F.lit("{'start': "), s["start"].cast("string"), F.lit(", 'end': "), s["end"].cast("string"), F.lit(", 'text': '"), F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]), F.lit("', 'label': '"), s["label"], F.lit("'}"))
+    d = _docs(spark, sf_dir).withColumn("bodies", S.bodies("text", "spans"))
+    one = lambda s, i: F.concat(F.lit("{'start': "), s["start"].cast("string"), F.lit(", 'end': "), s["end"].cast("string"), F.lit(", 'text': '"), F.get("bodies", i), F.lit("', 'label': '"), s["label"], F.lit("'}"))
     d = d.withColumn("raw", F.concat(F.lit("["), F.array_join(F.transform("spans", one), ", "), F.lit("]")))
     back = d.withColumn("back", converters.literal_spans("raw"))
     return back.select("row_id", F.size("back").cast("bigint").alias("n_spans"), F.coalesce(converters.plain(F.col("back")) == F.col("spans"), F.lit(False)).alias("same"))
@@ -221,12 +222,11 @@ def positional_join(spark, sf_dir):
 
 
 def exact_match_counts(spark, sf_dir):
-    e = scoring.exact_events(_parsed(spark, sf_dir))
-    return e.groupBy("row_id").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn")])
+    return scoring.tallied(_parsed(spark, sf_dir)).where(F.size("labels") > 0).select("row_id", "exact.*")
 
 
 def relaxed_match_counts(spark, sf_dir):
-    return scoring.relaxed_events(_parsed(spark, sf_dir)).select("row_id", "tp", "fp", "fn")
+    return scoring.tallied(_parsed(spark, sf_dir)).select("row_id", "relaxed.*")
 
 
 def ops_counters(spark, sf_dir):
@@ -268,26 +268,31 @@ def reward_scores(spark, sf_dir):
 
 
 def _thoughts(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("head"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("head"))
     text = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("  <think>a\nb</think>\n\n"), F.col("head"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("x\n<think>a</think> "), F.col("head"))).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("a</think>\n"), F.col("head"), F.lit("</think>z"))).otherwise(F.col("head"))
     return d.select("doc_id", text.alias("t"))
 
 
+def _answer(text):
+    """Length and digest of a text."""
+    return F.length(text).cast("bigint").alias("n_chars"), F.md5(text.cast("binary")).alias("answer_md5")
+
+
 def think_strip_a(spark, sf_dir):
-    return _thoughts(spark, sf_dir).select("doc_id", X.strip_think_line(F.col("t")).alias("answer"))
+    return _thoughts(spark, sf_dir).select("doc_id", *_answer(X.strip_think_line(F.col("t"))))
 
 
 def think_strip_b(spark, sf_dir):
-    return _thoughts(spark, sf_dir).select("doc_id", X.strip_think_start(F.col("t")).alias("answer"))
+    return _thoughts(spark, sf_dir).select("doc_id", *_answer(X.strip_think_start(F.col("t"))))
 
 
 def think_strip_c(spark, sf_dir):
-    return _thoughts(spark, sf_dir).select("doc_id", X.strip_think_end(F.col("t")).alias("answer"))
+    return _thoughts(spark, sf_dir).select("doc_id", *_answer(X.strip_think_end(F.col("t"))))
 
 
 def think_gate(spark, sf_dir):
     t = _thoughts(spark, sf_dir)
-    return t.select("doc_id", X.think_phase(F.col("t"), F.length("t"), 60).alias("phase"), X.answer_slice(F.col("t")).alias("answer"))
+    return t.select("doc_id", X.think_phase(F.col("t"), F.length("t"), 600).alias("phase"), *_answer(X.answer_slice(F.col("t"))))
 
 
 def names_normalise(spark, sf_dir):
@@ -323,10 +328,10 @@ def _planned(spark, sf_dir, version):
 
 
 def _sparse(spark, sf_dir):
-    """Documents with their rare labels, and every seventh row with its capitalised words relabelled to the date family."""
+    """Documents whose capitalised words are relabelled to the date family and to places, in every seventh row left out."""
     d = _docs(spark, sf_dir)
     date = F.element_at(F.array(*map(F.lit, L.DATE_FAMILY)), (F.pmod(F.col("row_id"), F.lit(4)) + 1).cast("int"))
-    few = F.transform(F.filter("spans", lambda s, i: (s["label"] != "proper_word") | ((F.pmod(F.col("row_id"), F.lit(7)) == 0) & (i < 6))), lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when((s["label"] == "proper_word") & (i % 2 == 0), date).when(s["label"] == "proper_word", F.lit("city")).otherwise(s["label"]).alias("label")))
+    few = F.transform(F.filter("spans", lambda s: (s["label"] != "proper_word") | (F.pmod(F.col("row_id"), F.lit(7)) != 0)), lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when((s["label"] == "proper_word") & (i % 2 == 0), date).when(s["label"] == "proper_word", F.lit("city")).otherwise(s["label"]).alias("label")))
     return d.withColumn("spans", few)
 
 
@@ -346,8 +351,8 @@ def request_plan_v2(spark, sf_dir):
 
 
 def alias_pick(spark, sf_dir):
-    """Aliases for all labels of the vocabulary; pages hold real markup, here as <link> and <time>."""
-    p = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("row_id"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<link></time of day>"), F.substring("html", 1, 200))).otherwise(F.substring("html", 1, 200)).alias("text"))
+    """Aliases for all labels of the vocabulary; pages hold real markup, here as <any url> and <time mention>."""
+    p = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("row_id"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<any url></time mention>"), "html")).otherwise(F.col("html")).alias("text"))
     return p.select("row_id", F.array_join(mixture.pick_aliases(mixture.SEED_V1, F.col("row_id"), F.array(*map(F.lit, L.VOCABULARY)), F.col("text"), L.ALIASES), ",", "?").alias("names"))
 
 
@@ -393,7 +398,7 @@ def _tagged_rows(spark, sf_dir):
 
 
 def job_audit(spark, sf_dir):
-    r = jobs.audit(jobs.audit_candidates(_tagged_rows(spark, sf_dir)), 20260718, AUDITOR, most=40)
+    r = jobs.audit(jobs.audit_candidates(_tagged_rows(spark, sf_dir)), 20260718, AUDITOR)
     return r.select("row_id", "custom_id", F.md5(F.get("body.messages", F.lit(1))["content"].cast("binary")).alias("user_md5"))
 
 
@@ -410,7 +415,7 @@ def job_synthesis(spark, sf_dir):
 
 def _priced(spark, sf_dir):
     d = _docs(spark, sf_dir).withColumn("names", F.array(*map(F.lit, NAMES)))
-    return jobs.costs(jobs.adjudication(d, AUDITOR, n=1 << 40), 350)
+    return jobs.costs(jobs.adjudication(d, AUDITOR, n=1 << 40), 350, PRICES)
 
 
 def job_cost(spark, sf_dir):
@@ -419,7 +424,7 @@ def job_cost(spark, sf_dir):
 
 def job_cost_by_model(spark, sf_dir):
     mixed = _priced(spark, sf_dir).withColumn("body", F.struct(F.when(F.col("row_id") % 2 == 0, F.lit("nano")).otherwise(F.lit("small")).alias("model"), F.col("body.messages").alias("messages"), F.col("body.max_completion_tokens").alias("max_completion_tokens")))
-    t = jobs.cost_by_model(jobs.costs(mixed, 350))
+    t = jobs.cost_by_model(jobs.costs(mixed, 350, PRICES))
     return t.select("model", "n", F.round("cost", 6).alias("cost"))
 
 
@@ -466,8 +471,8 @@ def prefix_tokens(spark, sf_dir):
 
 
 def _states(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.substring("text", 1, 30).alias("source"), F.array(F.lit("email"), F.lit("name")).alias("names"))
-    head = F.substring("source", 1, 10)
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("source"), F.array(F.lit("email"), F.lit("name")).alias("names"))
+    head = F.expr("substring(source, 1, cast(length(source) div 2 as int))")
     generated = F.when(F.col("row_id") % 5 == 0, head).when(F.col("row_id") % 5 == 1, F.concat(head, F.lit("<email>"))).when(F.col("row_id") % 5 == 2, F.concat(head, F.lit("<na"))).when(F.col("row_id") % 5 == 3, F.concat(F.lit("<name>"), F.col("source"), F.lit("</name>"))).otherwise(F.concat(head, F.lit("#")))
     return d.withColumn("generated", generated)
 

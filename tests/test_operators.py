@@ -45,12 +45,16 @@ def test_scoring_by_hand(spark):
     assert {r["source"]: r["rows"] for r in scoring.by_source(parsed).collect()} == {"s": 2, "t": 4}
     assert scoring.metrics(parsed)["ops"] == {"rows": 6, "malformed": 1, "copy_drift": 2, "unrequested_tags": 0}
     assert scoring.report_lines(parsed)[1] == "malformed output      1 (16.7%)"
+    order = [r["label"] for r in scoring.by_label(parsed).collect()]
+    assert order[0] == "t:a" and set(order) == {"t:a", "s:slug", "s:b"}
 
 
 def test_positional_join_counts(spark):
     a, b = spark.range(3).withColumnRenamed("id", "row_id"), spark.range(2).withColumnRenamed("id", "row_id")
-    with pytest.raises(ValueError, match="prediction rows"):
-        scoring.positional_join(a, b)
+    for gold, pred in ((a, b), (b, a)):
+        with pytest.raises(Exception, match="prediction rows"):
+            scoring.positional_join(gold, pred).collect()
+    assert scoring.positional_join(a, a).count() == 3
 
 
 def test_broken_gold_raises(spark):
@@ -204,7 +208,7 @@ def test_costs(spark):
     message = [{"role": "user", "content": 'é"x'}]
     df = spark.createDataFrame([("nano", message)], "model string, messages array<struct<role:string,content:string>>").select(F.struct("model", "messages").alias("body"))
     want = len(json.dumps(message)) / 4 / 1e6 * 0.10 + 90 / 1e6 * 0.625
-    assert jobs.costs(df, 90).first()["cost"] == pytest.approx(want)
+    assert jobs.costs(df, 90, {"nano": (0.10, 0.625)}).first()["cost"] == pytest.approx(want)
 
 
 @pytest.mark.parametrize("text", ["  <think>a\nb</think>\n\nrest", "x\n<think>a</think> y <think>b</think>", "a</think>\nb</think>c", "plain", "", "x <think>q</think>"])
@@ -282,3 +286,29 @@ def test_verdicts(spark):
     answers = spark.createDataFrame([(0, '{"verdicts":[{"i":0,"v":"ok"},{"i":1,"v":"wrong_label","fix":"z"},{"i":2,"v":"not_entity"}]}')], "row_id int, answer string")
     got = {r["row_id"]: [(s["start"], s["label"]) for s in r["spans"]] for r in jobs.apply_verdicts(gold, jobs.parse_verdicts(answers)).collect()}
     assert got == {0: [(0, "a"), (2, "z")], 1: []}
+
+
+def test_verdicts_on_boundaries_and_missed_spans(spark):
+    text = "Ann Lee met Ann and Bo."
+    gold = spark.createDataFrame([(0, text, [{"start": 4, "end": 7, "label": "name"}, {"start": 20, "end": 22, "label": "name"}])], f"row_id int, text string, spans {SPANS}")
+    answer = '{"verdicts":[{"i":0,"v":"wrong_boundary","fix":"Ann Lee"},{"i":1,"v":"wrong_boundary","fix":"nowhere"}],"missed":[{"text":"Ann","label":"name"},{"text":"Zoe","label":"name"}]}'
+    answers = spark.createDataFrame([(0, answer)], "row_id int, answer string")
+    row = jobs.apply_verdicts(gold, jobs.parse_verdicts(answers), jobs.parse_missed(answers)).first()
+    assert [text[s["start"] : s["end"]] for s in row["spans"]] == ["Ann Lee", "Ann", "Bo"] and row["spans"][1]["start"] == 12
+
+
+def test_attempts():
+    request = {"model": "m", "max_completion_tokens": 5, "reasoning_effort": "low"}
+    assert jobs.next_attempt(503, request, 0) == (request, 2.0) and jobs.next_attempt(429, request, 3) == (request, 16.0)
+    older = jobs.next_attempt(400, request, 0)[0]
+    assert older == {"model": "m", "max_tokens": 5, "reasoning_effort": "low"}
+    assert jobs.next_attempt(400, older, 1)[0] == {"model": "m", "max_tokens": 5}
+    assert jobs.next_attempt(404, request, 0)[0] is None and jobs.next_attempt(500, request, 4)[0] is None
+
+
+def test_batch_jobs(spark):
+    one = lambda model, n: spark.createDataFrame([(f"x-{i:03d}", model if i % 2 else "nano", [{"role": "user", "content": "abc" * 10}]) for i in range(n)], "custom_id string, model string, m array<struct<role:string,content:string>>").select("custom_id", F.struct("model", F.col("m").alias("messages")).alias("body"))
+    prices = {"nano": (0.0, 1e6), "big": (0.0, 2e6)}
+    out = jobs.batch_jobs({"A": one("nano", 100), "D": one("big", 100)}, {"A": 40.0, "D": 100.0}, {"A": 1, "D": 1}, prices)
+    assert out["A"].agg(F.sum("cost")).first()[0] <= 40 and out["A"].count() >= 35
+    assert out["D"].agg(F.sum("cost")).first()[0] <= 100 and out["D"].count() >= 50
