@@ -13,9 +13,9 @@ every document into every region. The join therefore starts from regions that no
    whose pivot is at most twice the distance threshold further than its nearest, and no link can then be
    missed. Where the windows hold everything, pivots are settled one by one and the
    triangle inequality skips pairs whose distances to a settled pivot differ by more than the threshold.
-4. A region whose sets exceed max_region_bytes, such as a hot group of near copies, is not gathered: rounds of
-   pivots are measured against salted parts of it, links to pivots merge components, settled pivots leave,
-   and the region is done when its open members are one component.
+4. A region whose sets exceed max_region_bytes or max_region_sets, such as a hot group of near copies, is not gathered: pivots are
+   measured against salted parts of it and deal it into Voronoi regions with windows, which go on recursively; a
+   region whose members are known to be one component is done.
 
 Only connectivity is kept, never all pairs of a group.
 """
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, cut, hash_bucket, table, text_volume, utf8
+from .common import bucket_count, cut, cut_round, hash_bucket, table, text_volume, utf8
 from .graph import components
 from .shards import BLOCK, block_count, cells, grams, mix64, pack, split_bounds, word_hashes
 
@@ -205,72 +205,87 @@ def _join_region(members: pa.Table, percent: int) -> pa.Table:
     return table("a bigint, b bigint", a=nodes[order], b=nodes[order][root])
 
 
+_MEASURED = "region bigint, node bigint, links array<bigint>, goes array<bigint>, far boolean"
+
+
 def _measure(members: pa.Table, pivots: pa.Table, percent: int) -> pa.Table:
-    """Links between the pivots of a round and a part of their region."""
-    if members.num_rows == 0 or pivots.num_rows == 0:
-        return table("a bigint, b bigint", a=[], b=[])
-    nodes = members.column("node").to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in members.column("grams").to_pylist()]
-    size = np.array([len(s) for s in sets])
-    flat, start = np.concatenate(sets), np.concatenate(([0], np.cumsum(size)[:-1]))
-    # of the links found here only those are passed on that join two components of this part
-    place = {}
-    for node in [*nodes.tolist(), *pivots.column("p_node").to_pylist()]:
-        place.setdefault(node, len(place))
-    parent = list(range(len(place)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    """Of each member of a part of a region: pivots that it links with, pivots whose Voronoi region or window it is in, and whether it is far.
 
-    a, b = [], []
-    for node, raw in zip(pivots.column("p_node").to_pylist(), pivots.column("p_grams").to_pylist(), strict=True):
-        s = np.frombuffer(raw, np.uint64)
-        both = _overlaps(flat, start, s)
-        for other in nodes[100 * both >= percent * (size + len(s) - both)].tolist():
-            x, y = find(place[node]), find(place[other])
-            if x != y:
-                parent[x] = y
-                a.append(other)
-                b.append(node)
-    return table("a bigint, b bigint", a=a, b=b)
-
-
-def _large_regions(members: DataFrame, percent: int, part_bytes: int, pivots: int) -> DataFrame:
-    """Links of regions too large for one task (columns region, node, grams, bytes), by rounds of pivots."""
-    links = None
-    parts = F.greatest(F.ceil(F.col("bytes") / part_bytes), F.lit(1)).cast("int")
-    members = cut(members.withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.col("parts").cast("bigint")).cast("int")))
-    open_ = members.select("region", "node", F.col("node").alias("component"))
-    turn = 0
+    With eps the greatest distance of a link: a member is near a pivot if at most 2 eps away, and then its home is its nearest pivot's
+    region. A partner of a near member is at most 3 eps from that pivot, and no more than 2 eps further from it than
+    from its own nearest one; so a member goes to all regions within both bounds. Far members link with each other in a region of their own.
+    """
+    out: dict[str, list] = {"region": [], "node": [], "links": [], "goes": [], "far": []}
+    if members.num_rows and pivots.num_rows:
+        eps = 1.0 - percent / 100 + 1e-9
+        nodes = members.column("node").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in members.column("grams").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        flat, start = np.concatenate(sets), np.concatenate(([0], np.cumsum(size)[:-1]))
+        names = pivots.column("p_node").to_numpy()
+        distance, link = np.empty((len(names), len(nodes))), np.zeros((len(names), len(nodes)), bool)
+        for k, raw in enumerate(pivots.column("p_grams").to_pylist()):
+            s = np.frombuffer(raw, np.uint64)
+            both = _overlaps(flat, start, s)
+            union = size + len(s) - both
+            distance[k] = 1.0 - both / union
+            link[k] = (100 * both >= percent * union) & (nodes != names[k])
+        nearest = distance.min(0)
+        goes = (distance <= 3 * eps) & (distance - nearest <= 2 * eps)
+        settled = np.isin(nodes, names)  # all links of a pivot are found, so it goes nowhere
+        out["region"] = members.column("region").to_pylist()
+        out["node"] = nodes
+        out["links"] = [names[link[:, j]].tolist() for j in range(len(nodes))]
+        out["goes"] = [[] if settled[j] else names[goes[:, j]].tolist() for j in range(len(nodes))]
+        out["far"] = (nearest > 2 * eps) & ~settled
+    return table(_MEASURED, **out)
+
+
+def _split_regions(members: DataFrame, percent: int, most_bytes: int, most_members: int, pivots: int) -> DataFrame:
+    """Links of regions (columns region, node, grams) by distributed recursion; small ones are joined in a task each.
+
+    A round measures a region's members, in salted parts, against its pivots. Links found merge components; the regions of the
+    next round are the Voronoi regions with their windows and the far members, or all of a region but its settled pivots where windows
+    hold nearly everything. A region of a single component is done. Pivots leave in each round, so the rounds end.
+    """
+    links = members.sparkSession.createDataFrame([], "a bigint, b bigint")
+    where = cut_round(members.select("node").distinct().withColumn("component", F.col("node")))
+    grams_of = members.select("node", "grams")  # each node is in one region at first
     while True:
-        per = open_.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
-        main = per.groupBy("region").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
-        # minorities first; while all are single any member will do
-        minor = open_.join(main, "region").where("component <> main")
-        pick = minor.groupBy("region", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots)).alias("slot")).agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
-        pick = cut(pick.select("region", "node"))
-        if pick.limit(1).count() == 0:
+        members = cut_round(members)
+        sizes = cut_round(members.groupBy("region").agg(F.sum(F.length("grams")).alias("bytes"), F.count(F.lit(1)).alias("n")))
+        fits = (F.col("bytes") <= most_bytes) & (F.col("n") <= most_members)
+        small = members.join(sizes.where(fits).select("region"), "region", "left_semi")
+        links = links.union(cut_round(small.groupBy("region").applyInArrow(lambda t: _join_region(t, percent), "a bigint, b bigint")))
+        large = sizes.where(~fits)
+        if large.limit(1).count() == 0:
             return links
-        regions = pick.select("region").distinct()
-        sets = members.join(pick, ["region", "node"], "left_semi")
-        spread = sets.select(F.col("region").alias("p_region"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p_salt"), F.col("node").alias("p_node"), F.col("grams").alias("p_grams"))
-        here = members.join(regions, "region", "left_semi").join(open_.select("region", "node"), ["region", "node"], "left_semi")
-        found = here.select("region", "salt", "node", "grams").groupBy("region", "salt").cogroup(spread.groupBy("p_region", "p_salt")).applyInArrow(lambda m, p: _measure(m, p, percent), "a bigint, b bigint")
-        found = cut(found)
-        links = found if links is None else links.union(found)
-        # only links between components found so far can change anything
-        label = lambda end: open_.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        parts = F.greatest(F.ceil(F.col("bytes") / most_bytes), F.ceil(F.col("n") / most_members), F.lit(1)).cast("int")
+        here = members.join(large.withColumn("parts", parts), "region").withColumn("salt", F.pmod(F.xxhash64("node", F.lit("salt")), F.col("parts").cast("bigint")).cast("int"))
+        slot = F.pmod(F.xxhash64("node", "region"), F.lit(pivots))
+        pick = here.groupBy("region", slot.alias("slot")).agg(F.min_by(F.struct("node", "grams", "parts"), F.xxhash64("region", "node")).alias("p")).select("region", "p.*")
+        pick = cut_round(pick)
+        spread = pick.select(F.col("region").alias("p_region"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p_salt"), F.col("node").alias("p_node"), F.col("grams").alias("p_grams"))
+        measured = here.select("region", "salt", "node", "grams").groupBy("region", "salt").cogroup(spread.groupBy("p_region", "p_salt"))
+        measured = cut_round(measured.applyInArrow(lambda m, p: _measure(m, p, percent), _MEASURED))
+        found = cut_round(measured.select(F.col("node").alias("a"), F.explode("links").alias("b")))
+        links = links.union(found)
+        label = lambda end: where.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
         between = found.join(label("a"), "a").join(label("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        merged = components(between).withColumnRenamed("component", "wider")
-        rest = open_.join(pick, ["region", "node"], "left_anti").join(merged.withColumnRenamed("node", "component"), "component", "left")
-        open_ = cut(rest.select("region", "node", F.coalesce("wider", "component").alias("component")))
-        turn += 1
-
-
-def link_documents(docs: DataFrame, n: int = 5, percent: int = 75, max_region_bytes: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        merged = components(between).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+        where = cut_round(where.join(merged, "component", "left").select("node", F.coalesce("wider", "component").alias("component")))
+        far = F.when(F.col("far"), F.array(F.lit(None).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+        dealt = cut_round(measured.select("region", "node", F.explode(F.concat("goes", far)).alias("to")))
+        spreads = dealt.groupBy("region", "to").agg(F.count(F.lit(1)).alias("k")).groupBy("region").agg(F.max("k").alias("most"), F.sum("k").alias("all"))
+        splits = cut_round(large.join(spreads, "region", "left").select("region", F.coalesce((F.col("most") <= 0.7 * F.col("n")) & (F.col("all") <= 3 * F.col("n")), F.lit(True)).alias("splits")))
+        apart = dealt.join(splits.where("splits"), "region", "left_semi").select(F.xxhash64("region", "to").alias("region"), "node")
+        whole = measured.join(splits.where("not splits"), "region", "left_semi").join(pick.select("region", "node"), ["region", "node"], "left_anti").select("region", "node")
+        following = cut_round(apart.union(whole).join(where, "node"))
+        open_ = following.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
+        members = following.join(open_, "region", "left_semi").select("region", "node").join(grams_of, "node").select("region", "node", "grams")
+
+
+def link_documents(docs: DataFrame, n: int = 5, percent: int = 75, max_region_bytes: int = 16_000_000, max_region_sets: int = 4000, pivots: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Connected components of documents whose n-word shingle sets have at least percent % Jaccard similarity.
 
     Returns id_col, n_shingles, component_id (smallest id reachable by links, itself included). Null texts
@@ -281,7 +296,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 75, max_region_by
     _, chars = text_volume(docs, text_col)
     buckets = bucket_count(chars)
     shards, blocks = buckets, block_count(chars / WORD_CHARS, buckets)
-    dealt = docs.select(F.coalesce(hash_bucket(id_col, buckets), F.lit(0)).alias("bucket"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    dealt = docs.select(hash_bucket(buckets, id_col, text_col).alias("bucket"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     asked = dealt.groupBy("bucket").applyInArrow(lambda t: _ask(t, shards, blocks, n), _ASK)
     answered = asked.groupBy("shard").applyInArrow(lambda t: _answer(t, shards, blocks), _ANSWER)
     sets = cut(dealt.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(lambda d, a: _sets(d, a, shards, blocks, n, percent), _SETS))
@@ -296,13 +311,7 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 75, max_region_by
     star = cell.join(hubs, "cell").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     regions = components(star).withColumnRenamed("component", "region")
     tied = cut(some.select("node", "grams").join(regions, "node"))
-    sizes = tied.groupBy("region").agg(F.sum(F.length("grams")).alias("bytes"))
-    members = tied.join(sizes, "region")
-    small = members.where(F.col("bytes") <= max_region_bytes)
-    links = small.select("region", "node", "grams").groupBy("region").applyInArrow(lambda t: _join_region(t, percent), "a bigint, b bigint")
-    large = members.where(F.col("bytes") > max_region_bytes)
-    if sizes.where(F.col("bytes") > max_region_bytes).limit(1).count():
-        links = links.union(_large_regions(large, percent, max_region_bytes, 128))
+    links = _split_regions(tied.select("region", "node", "grams"), percent, max_region_bytes, max_region_sets, pivots)
     linked = components(links)
     # rows with equal ids are one document: a node's classes meet in its id
     own = sets.where("doc_id is not null").join(classes, "cls", "left").join(linked, "node", "left").select("doc_id", "n", F.coalesce("component", "node", "doc_id").alias("component_id"))

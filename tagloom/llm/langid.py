@@ -9,23 +9,24 @@ language and n-gram order, summed per document.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
 
 ORDERS = (1, 2, 3)
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Anything but letters and the marks on them; numbers of all kinds, such as a half sign, are no letters.
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 _PRIMES = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 
 def folded(text: str | None) -> str:
     """Letters in lower case, everything between them one space; empty if there is no letter."""
     words = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-    return f" {words} " if words else ""
+    return f" {words} " if words and (words[0].isalpha() or _LETTER.search(words)) else ""
 
 
 def gram_ids(codes: np.ndarray, n: int, bits: int) -> np.ndarray:
@@ -43,15 +44,15 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), start
 
 
-def fit_language_model(labelled: DataFrame, bits: int = 16, rows_per_language: int = 3000, least_rows: int = 2, alpha: float = 0.1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
-    """Languages, log-priors and log-probability matrix from at most about rows_per_language rows of each language.
+def fit_language_model(labelled: DataFrame, bits: int = 16, rows_per_language: int = 3000, alpha: float = 0.1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
+    """Languages, log-priors and log-probability matrix from at most about rows_per_language rows of each language; one row is enough.
 
     Rows with a null language or text are not used. The sample is the rows whose hashed id falls
     below the share that the bound leaves for the language, so it is the same in every run.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
-    langs = sorted(lang for lang, n in sizes.items() if n >= least_rows) or sorted(sizes)
+    langs = sorted(sizes)
     if not langs:
         return [], np.zeros(0, np.float32), np.zeros((0, 1 << bits), np.float32)
     share = F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, rows_per_language / sizes[lang]))]), F.col(lang_col))
@@ -71,7 +72,6 @@ def fit_language_model(labelled: DataFrame, bits: int = 16, rows_per_language: i
         k, g = np.nonzero(total)
         yield pa.record_batch({"k": pa.array(k, pa.int32()), "g": pa.array(g, pa.int32()), "n": pa.array(total[k, g])})
 
-    labelled.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     # at most languages x 2^bits rows come back, whatever the size of the corpus
     counted = sample.mapInArrow(count, "k int, g int, n bigint").groupBy("k", "g").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((len(langs), 1 << bits), alpha)

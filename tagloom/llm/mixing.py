@@ -8,11 +8,11 @@ a second hash. A large rate is a sum of draws at equal parts of it. No row depen
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SEED = "mix-1"
 MOST_BROADCAST = 20_000
 #: The largest rate of one draw; far below about 745, where the probability of no copy underflows.
@@ -24,44 +24,44 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
 
-def source_rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str, temperature: float, max_rate: float | None) -> list[tuple[str | None, int, float]]:
-    """(source, rows, mean repetition rate) of every source; one row a source, a bounded catalogue.
+def source_rates(docs: DataFrame, weights: dict[str, float] | None, source_col: str, temperature: float, other_weight: float) -> DataFrame:
+    """_source, _n, _rate: rows and mean repetition rate of every source, from one aggregation; nothing is collected.
 
-    Without weights a source weighs n_s ** temperature. Weights are made to sum to one over the sources
-    that occur; a source that weights does not name weighs nothing.
+    Without weights a source weighs n_s ** temperature; with weights a source that they do not name weighs other_weight.
+    Weights are made to sum to one over the sources that occur. If all weigh nothing, all rates are 0.
     """
-    sizes = [(r[0], r[1]) for r in docs.groupBy(source_col).count().collect()]
-    sizes.sort(key=lambda r: (r[0] is None, str(r[0])))
-    total = sum(n for _, n in sizes)
-    share = [(float(n) ** temperature if weights is None else float(weights.get(s, 0.0))) for s, n in sizes]
-    whole = math.fsum(share)
-    return [(s, n, min(math.inf if max_rate is None else max_rate, x / whole * total / n) if whole else 0.0) for (s, n), x in zip(sizes, share, strict=True)]
+    sizes = docs.groupBy(F.col(source_col).cast("string").alias("_source")).agg(F.count(F.lit(1)).alias("_n"))
+    if weights is None:
+        share = F.pow(F.col("_n").cast("double"), F.lit(float(temperature)))
+    else:
+        named = F.create_map(*[F.lit(x) for s, w in weights.items() for x in (s, float(w))]) if weights else F.lit(None).cast("map<string,double>")
+        share = F.coalesce(F.try_element_at(named, F.col("_source")), F.lit(float(other_weight)))
+    sizes = cut(sizes.withColumn("_share", share))
+    whole = sizes.agg(F.sum("_share").alias("_whole"), F.sum("_n").alias("_total")).withColumn("_one", F.lit(1))  # a single row
+    rate = F.when(F.col("_whole") > 0, F.col("_share") / F.col("_whole") * F.col("_total") / F.col("_n")).otherwise(F.lit(0.0))
+    return sizes.withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one").select("_source", "_n", rate.alias("_rate"))
 
 
-def poisson_cdf(rate: float) -> list[float]:
-    """Cumulative Poisson probabilities from 0 until they round to one."""
-    p = math.exp(-rate)
-    out, k = [p], 0
-    while out[-1] < 1.0 - 1e-15 and p > 0.0 and k < 20 * rate + 60:
-        k += 1
-        p *= rate / k
-        out.append(out[-1] + p)
-    return out
+def poisson_cdf(rate: Column) -> Column:
+    """Cumulative Poisson probabilities of 0, 1, ... as far as a uniform number of 48 bits can tell them from one; rate at most MOST_RATE."""
+    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
+    step = lambda s, k: F.struct((s["p"] * rate / k).alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + s["p"] * rate / k)).alias("c"))
+    most = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["c"])
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, max_rate: float | None = None, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, other_weight: float = 0.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Replicated and globally shuffled docs, with all their columns, copy (from 0) and shuffle_key.
 
     The draw depends on seed and id only; rows that repeat an id draw alike, null ids as the text "null". A
-    null source is a source of its own. max_rate, if given, bounds the mean repetition of one document, which else
-    is large for a tiny source; what it cuts off goes to no other source. Columns of docs called copy or shuffle_key are replaced. An empty
+    null source is a source of its own. weights are target shares by source, other_weight that of each source they do not
+    name; without weights sources weigh their number of rows to the power temperature. Columns of docs called copy or shuffle_key are replaced. An empty
     table gives an empty result. Rows come out ordered by shuffle_key across partitions.
     """
-    rates = source_rates(docs, weights, source_col, temperature, max_rate)
     docs = docs.drop("copy", "shuffle_key")
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(s, poisson_cdf(rate / parts), parts) for s, _, rate in rates for parts in [max(1, math.ceil(rate / MOST_RATE))]], "_source string, _cdf array<double>, _parts int")
-    if len(rates) <= MOST_BROADCAST:  # each row has at most 220 numbers; beyond this the join is Spark's choice
+    rates = source_rates(docs, weights, source_col, temperature, other_weight).withColumn("_parts", F.greatest(F.ceil(F.col("_rate") / F.lit(MOST_RATE)), F.lit(1)).cast("int"))
+    table = cut(rates.select("_source", "_parts", poisson_cdf(F.col("_rate") / F.col("_parts")).alias("_cdf")))
+    if table.count() <= MOST_BROADCAST:  # each row has at most about 200 numbers; beyond this the join is Spark's choice
         table = F.broadcast(table)
     columns = docs.columns
     docs = docs.join(table, F.col(source_col).cast("string").eqNullSafe(F.col("_source")), "left")

@@ -13,6 +13,11 @@ WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+#: Target weights of operator 7 by source; each other source weighs OTHER_TARGET.
+TARGETS = {"src0": 3.0, "src1": 2.0, "src2": 0.5}
+OTHER_TARGET = 1.0
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated_passages(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -42,7 +47,7 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All columns of the documents are replicated and shuffled; the digest stands for the text."""
-    out = mixing.mix(read(spark, sf_dir, "documents"))
+    out = mixing.mix(read(spark, sf_dir, "documents"), TARGETS, other_weight=OTHER_TARGET)
     return out.select("doc_id", "source", "copy", "shuffle_key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
@@ -76,12 +81,13 @@ ORACLE_SQL = {
         FROM d LEFT JOIN c USING (doc_id)""",
     "op7_source_mixing": f"""
         WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-        t AS (SELECT sum(n) AS total, sum(sqrt(n)) AS whole FROM n),
-        r AS (SELECT source, least(8.0, sqrt(n) / whole * total / n) AS rate FROM n, t),
-        k AS (SELECT unnest(range(0, 100)) AS k),
-        cdf AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM r, k),
-        u AS (SELECT doc_id, source, text, ('0x' || substr(md5('{mixing.SEED}|copies|' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0 AS u FROM documents),
-        m AS (SELECT u.doc_id, u.source, u.text, count(*) FILTER (WHERE c <= u) AS copies FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source GROUP BY ALL)
+        w AS (SELECT source, n, CASE source {' '.join(f"WHEN '{s}' THEN {x}" for s, x in TARGETS.items())} ELSE {OTHER_TARGET} END AS w FROM n),
+        r0 AS (SELECT source, w / (SELECT sum(w) FROM w) * (SELECT sum(n) FROM w) / n AS rate FROM w),
+        r AS (SELECT source, greatest(ceil(rate / 64), 1)::BIGINT AS parts, rate / greatest(ceil(rate / 64), 1) AS rate FROM r0),
+        cdf AS (SELECT source, list(c ORDER BY k) AS cs FROM (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM r, range(0, 190) t(k)) GROUP BY source),
+        u AS (SELECT doc_id, d.source, text, list_transform(range(parts), lambda p: ('0x' || substr(md5('{mixing.SEED}|copies|' || coalesce(doc_id::VARCHAR, 'null') || CASE WHEN p = 0 THEN '' ELSE '|' || p END), 1, 12))::BIGINT / 281474976710656.0) AS us
+              FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+        m AS (SELECT u.doc_id, u.source, u.text, list_sum(list_transform(us, lambda x: len(list_filter(cs, lambda c: c <= x)))) AS copies FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source)
         SELECT doc_id, source, copy::INTEGER AS copy, substr(md5('{mixing.SEED}|order|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy), 1, 16) AS shuffle_key, sha256(coalesce(text, '')) AS text_sha256
         FROM (SELECT *, unnest(range(0, copies)) AS copy FROM m)""",
     "op10_jaccard_join": f"""

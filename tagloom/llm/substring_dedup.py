@@ -10,7 +10,7 @@
 4. Each bucket removes the words covered by windows that a smaller doc_id has, in the bucket or elsewhere.
 
 The sketch is as wide as the corpus needs but lies spread over the shards: nothing is broadcast or collected, and
-buckets, shards and answers all have bounded size. A bucket is read three times; Spark reuses its exchange.
+buckets, shards and answers have the size that bucket_count sets. A bucket is read three times; Spark reuses its exchange.
 """
 
 from __future__ import annotations
@@ -164,7 +164,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, id_col: str
     shards = buckets
     blocks = block_count(chars / WORD_CHARS, shards)
     carried = F.to_json(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)])) if carry else F.lit(None).cast("string")
-    dealt = docs.select(F.coalesce(hash_bucket(id_col, buckets), F.lit(0)).alias("bucket"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carry"))
+    dealt = docs.select(hash_bucket(buckets, id_col, text_col).alias("bucket"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carry"))
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, carry string"
     asked = dealt.groupBy("bucket").applyInArrow(lambda t: _ask(t, shards, blocks, window), _ASK)
     estimated = asked.groupBy("shard").applyInArrow(lambda t: _estimate(t, shards, blocks), _ANSWER)

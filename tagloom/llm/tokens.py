@@ -3,7 +3,8 @@
 No piece of the model has a word-start mark after another character, so no merge crosses the
 place before a run of spaces. A text is therefore cut into pre-tokens "spaces + non-spaces";
 the pieces of each distinct pre-token are counted once, and a text's count is the sum over its
-pre-token frequencies of frequency x pieces. Token ids are never built.
+pre-token frequencies of frequency x pieces. The library lists the ids of each distinct pre-token while it is
+counted; ids of a document are never built. "Distinct" is by task: a table holds at most TABLE_LIMIT pre-tokens.
 
 The join of (document, pre-token, frequency) with (pre-token, pieces) happens inside each task
 against a bounded table of counts. Shuffling it instead would move about 80 million rows for

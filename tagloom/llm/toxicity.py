@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, spans_by_bytes, utf8
+from .shards import mix64
 
 _WORD = re.compile(r"\w+")
 _EDGE = re.compile(r"^\W+|\W+$")
 STEM_LENGTHS = range(4, 10)
-#: Words that report what someone else said, in the languages of the corpus.
+#: Default of Scorer(reporting): words that report what someone else said, in the languages of the corpus.
 REPORTING = frozenset("said says called calls quote quoted quoting word words term slur insult dit appelle mot sagte nannte wort dijo llama palabra".split())
 _OPEN, _CLOSE = re.compile("^\\W*[\"“”«„‘']"), re.compile("[\"”“»’']\\W*$")
 
@@ -218,7 +219,10 @@ def _lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean
 
 
 def _one_of_each_group(rows: DataFrame) -> DataFrame:
-    """One labelled text of each group that shares its smallest 5-word shingle hash: the words of a copied text count once."""
+    """One labelled text of each group that shares its smallest 5-word shingles under two hashes: words of a copied text count once.
+
+    Near copies nearly always share both; texts that share a line or a notice only hardly ever do, and all of them count.
+    """
 
     def run(batch):
         least = []
@@ -229,14 +233,15 @@ def _one_of_each_group(rows: DataFrame) -> DataFrame:
             g = np.zeros(n, np.uint64)
             for k in range(min(5, len(h))):
                 g = g * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-            least.append(int((g * np.uint64(0xBF58476D1CE4E5B9)).min() >> np.uint64(1)) if len(h) else -1)
+            one, two = (int((mix64(g + seed)).min()) for seed in (np.uint64(1), np.uint64(0xD6E8FEB86659FD93))) if len(h) else (0, 0)
+            least.append((one * 31 + two) % (1 << 63))
         return {"_y": batch.column(0), "_t": batch.column(1), "_m": least}
 
     marked = map_batches(rows, run, "_y int, _t string, _m bigint")
     return cut(marked.groupBy("_y", "_m").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t")).drop("_m"))
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least: int = 4, precision: float = 0.95, most_terms: int = 100_000, most_entries: int = 2_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
+def fit_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least: int = 4, precision: float = 0.95, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
     """Lexicon from at most sample_rows labelled rows, those with the smallest hashed ids.
 
     Returns (automaton, precision of each entry, words that look like lexicon words but are innocent, weights).
@@ -264,12 +269,11 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, l
         return run
 
     counted = lambda of, select: map_batches(of.select("_t"), tally(select), "term string, n bigint").groupBy("term").agg(F.sum("n").cast("bigint").alias("n"))
-    found = counted(rows.where("_y = 1"), terms).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(most_terms).collect()
+    found = counted(rows.where("_y = 1"), terms).where(F.col("n") >= least).collect()  # terms of at most sample_rows rows
     toxic = {r["term"]: r["n"] for r in found}
     wanted = spark.sparkContext.broadcast(frozenset(toxic))
     clean = {r["term"]: r["n"] for r in counted(rows.where("_y = 0"), lambda t: terms(t) & wanted.value).collect()}
     words, word_worth, stems, stem_worth = _lexicon(toxic, clean, n_toxic, n_clean, least, precision)
-    words, word_worth, stems, stem_worth = words[:most_entries], word_worth[:most_entries], stems[:most_entries], stem_worth[:most_entries]
     automaton = Lexicon(words, stems)
     shared = spark.sparkContext.broadcast(automaton)
 
@@ -278,7 +282,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, l
         entry, errors = shared.value.run(own) if own else ((), ())
         return [w for w, k, e in zip(own, entry, errors, strict=True) if k >= 0 and e]
 
-    innocent = frozenset(r["term"] for r in counted(rows.where("_y = 0"), near).orderBy(F.desc("n"), "term").limit(most_terms).collect())
+    innocent = frozenset(r["term"] for r in counted(rows.where("_y = 0"), near).collect())
     worth = np.array(word_worth + stem_worth)
     state: dict[str, Scorer] = {}
 
@@ -293,11 +297,16 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, l
 
 
 class Scorer:
-    """Scores texts; remembers a bounded number of distinct chunks."""
+    """Scores texts; remembers a bounded number of distinct chunks.
+
+    near_worth is the share of its precision that a misspelt term keeps; window the chunks around a hit in which a
+    quotation may open and close; reporting the words that, just before a hit, report it; quoted_most the score that quoted or
+    reported hits alone stay below.
+    """
 
-    def __init__(self, automaton: Automaton | Lexicon, worth: np.ndarray, innocent: frozenset, weights: tuple[float, float, float] = (0.0, 1.0, 0.0), near_worth: float = 0.9, window: int = 6, limit: int = 500_000):
+    def __init__(self, automaton: Automaton | Lexicon, worth: np.ndarray, innocent: frozenset, weights: tuple[float, float, float] = (0.0, 1.0, 0.0), near_worth: float = 0.9, window: int = 6, limit: int = 500_000, reporting: frozenset = REPORTING, quoted_most: float = 0.45):
         self.automaton, self.worth, self.innocent, self.weights = automaton, worth, innocent, weights
-        self.near_worth, self.window, self.limit = near_worth, window, limit
+        self.near_worth, self.window, self.limit, self.reporting, self.quoted_most = near_worth, window, limit, reporting, quoted_most
         self.known: set[bytes] = set()
         self.hits: dict[bytes, float] = {}
 
@@ -325,7 +334,7 @@ class Scorer:
         before = [c.decode() for c in chunks[max(0, at - self.window) : at]]
         here = chunks[at].decode()
         after = [c.decode() for c in chunks[at + 1 : at + 1 + self.window]]
-        if any(w in REPORTING for c in before[-3:] for w in words_of(c)):
+        if any(w in self.reporting for c in before[-3:] for w in words_of(c)):
             return True
         opened = bool(_OPEN.search(here)) or any(_OPEN.search(c) and not any(_CLOSE.search(x) for x in before[i:]) for i, c in enumerate(before))
         return opened and (bool(_CLOSE.search(here)) or any(_CLOSE.search(c) for c in after))
@@ -363,7 +372,7 @@ class Scorer:
         if clear > 0.0:
             bias, slope, length = self.weights
             uttered = 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, bias + slope * clear + length * math.log1p(n_words)))))
-        return max(0.01, uttered, 0.45 * (1.0 - math.exp(-quoted)))
+        return max(0.01, uttered, self.quoted_most * (1.0 - math.exp(-quoted)))
 
 
 def _calibration(rows: list[tuple[float, float, int]], toxic: list[int]) -> tuple[float, float, float]:

@@ -161,15 +161,16 @@ def poisson(u, rate):
     return k
 
 
-def mixed(rows, seed="mix-1", temperature=0.5, max_rate=8.0):
-    """(id, source) -> list of (row number, copy, shuffle key) in global order."""
+def mixed(rows, seed="mix-1", temperature=0.5, weights=None, other=0.0):
+    """(id, source) -> list of (row number, copy, shuffle key) in global order; rates up to 64."""
     sizes = Counter(s for _, s in rows)
-    whole = math.fsum(n**temperature for n in sizes.values())
+    weight = {s: n**temperature if weights is None else weights.get(s, other) for s, n in sizes.items()}
+    whole = math.fsum(weight.values())
     out = []
     for k, (i, s) in enumerate(rows):
         name = "null" if i is None else str(i)
         u = int(hashlib.md5(f"{seed}|copies|{name}".encode()).hexdigest()[:12], 16) / 2**48
-        n = poisson(u, min(max_rate, sizes[s] ** temperature / whole * len(rows) / sizes[s]))
+        n = poisson(u, weight[s] / whole * len(rows) / sizes[s])
         out += [(k, c, hashlib.md5(f"{seed}|order|{name}|{c}".encode()).hexdigest()[:16]) for c in range(n)]
     return sorted(out, key=lambda r: (r[2], rows[r[0]][0] or -1, r[1]))
 

@@ -181,6 +181,29 @@ def test_languages(spark, edges, nothing):
     assert {r["lang_pred"] for r in langid.identify_languages(docs, docs.limit(0)).collect()} == {"und"}
 
 
+def test_texts_without_a_letter():
+    for t in ("", None, "²", "½ ²", "12 _ %", "٣ ⅷ"):
+        assert langid.folded(t) == "" or any(c.isalpha() for c in t)
+    assert langid.folded("²") == langid.folded("½ ²") == langid.folded("12_3") == ""
+    assert langid.folded("Ab²c, é") == " ab c é "
+
+
+def test_language_model_by_hand(spark):
+    """Counts, priors and log-probabilities from their definition; one row of a language is enough."""
+    rows = [(1, "ab ab c", "x"), (2, "Ba", "x"), (3, "zz", "y"), (4, None, "y"), (5, "q", None)]
+    langs, prior, logp = langid.fit_language_model(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), bits=10)
+    counts = {"x": np.full(1 << 10, 0.1), "y": np.full(1 << 10, 0.1)}
+    for _, text, lang in rows[:3]:
+        codes, _ = langid.code_points([langid.folded(text)])
+        for n in langid.ORDERS:
+            for k in range(len(codes) - n + 1):
+                counts[lang][int(langid.gram_ids(codes[k : k + n], n, 10)[0])] += 1
+    assert langs == ["x", "y"] and prior == pytest.approx(np.log([2 / 3, 1 / 3]))
+    for j, lang in enumerate(langs):
+        assert logp[j] == pytest.approx(np.log(counts[lang] / counts[lang].sum()), rel=1e-5)
+    assert {r["lang_pred"] for r in langid.identify_languages(spark.createDataFrame([(9, "zz")], "doc_id bigint, text string"), spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()} == {"y"}
+
+
 def test_language_scores_by_hand():
     langs, prior, bits = ["a", "b"], np.log(np.array([0.5, 0.5], np.float32)), 12
     rng = np.random.default_rng(2)
@@ -315,6 +338,13 @@ def test_mixing(edges, small, nothing):
         assert [g[3] for g in got] == sorted(g[3] for g in got)
     assert mixing.mix(nothing).count() == 0
     assert mixing.mix(small, weights={"src1": 1.0}).where("source <> 'src1'").count() == 0
+    assert mixing.mix(small, weights={}).count() == 0 and mixing.mix(small, weights={}, other_weight=1.0).count() > 0
+
+
+def test_mixing_with_named_weights(small):
+    rows = [(r["doc_id"], r["source"]) for r in small.select("doc_id", "source").collect()]
+    got = [(r["doc_id"], r["copy"], r["shuffle_key"]) for r in mixing.mix(small, {"src0": 3.0, "src1": 0.5}, other_weight=1.0).collect()]
+    assert by(got) == by((rows[k][0], c, key) for k, c, key in brute.mixed(rows, weights={"src0": 3.0, "src1": 0.5}, other=1.0))
 
 
 def test_mixing_hits_its_targets(spark):
@@ -490,14 +520,47 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("most", [16_000_000, 6000])
-def test_large_regions(spark, most):
+@pytest.mark.parametrize(("sets", "pivots"), [(4000, 64), (60, 24)])
+def test_large_regions(spark, sets, pivots):
     rows = near_copies()
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = jaccard_join.link_documents(df, max_region_bytes=most)
+    got = jaccard_join.link_documents(df, max_region_sets=sets, pivots=pivots)
     assert by(tuple(r) for r in got.collect()) == brute.components(rows)
 
 
+def test_voronoi_windows_lose_no_link():
+    """Whatever the pivots, two linked members meet: one is a pivot, or both go to one region, or both are far."""
+    import pyarrow as pa
+
+    sets = {i: np.unique(grams(word_hashes(t.encode().split()), 5)) for i, t in near_copies()}
+    nodes = list(sets)
+    raw = [sets[i].tobytes() for i in nodes]
+    rng = random.Random(8)
+    for _ in range(6):
+        pivots = rng.sample(range(len(nodes)), 5)
+        t = jaccard_join._measure(pa.table({"region": [1] * len(nodes), "node": nodes, "grams": raw}), pa.table({"p_node": [nodes[k] for k in pivots], "p_grams": [raw[k] for k in pivots]}), 75)
+        got = {r["node"]: r for r in t.to_pylist()}
+        apart = 0
+        for a in range(len(nodes)):
+            for b in range(a):
+                x, y = nodes[a], nodes[b]
+                both = len(np.intersect1d(sets[x], sets[y]))
+                if 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
+                    assert x in got[y]["links"] or y in got[x]["links"] or set(got[x]["goes"]) & set(got[y]["goes"]) or got[x]["far"] and got[y]["far"]
+                else:
+                    apart += not set(got[x]["goes"]) & set(got[y]["goes"])
+        assert apart > 1000
+
+
+def test_bucket_count():
+    from tagloom.llm.common import bucket_count
+
+    assert bucket_count(10) == bucket_count(64 * 8_000_000) == 64
+    for gb in (1, 30, 1000, 100_000):  # buckets and messages stay at what a shuffle of that size has
+        n = bucket_count(gb * 10**9)
+        assert gb * 10**9 / n <= 10.1e6 * gb ** (1 / 3) and n * n <= 1.05e4 * gb ** (4 / 3)
+
+
 def test_region_recursion():
     rng = np.random.default_rng(5)
     for trial in range(20):
