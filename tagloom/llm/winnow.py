@@ -1,46 +1,39 @@
 """Operator 8: document fingerprints by winnowing, in DataFrame expressions only.
 
-Units are runs of at most four non-space characters, so words, scripts without spaces and very short texts
-all have several. The hash of each k-gram of units is its Karp-Rabin polynomial modulo a
-prime, built for all positions at once by doubling. Each window of w consecutive k-gram hashes selects its
-smallest, the rightmost of equal ones; every value carries its position, so the pair
-(hash, position) is one long and a window minimum is a plain minimum. Any passage of k + w - 1
-units that two texts share gives them a common fingerprint hash.
+Units are the code points of a text but for ASCII white space. The rolling hash of each k-gram of units is a shift-and-xor
+polynomial of their 64-bit hashes, built for all positions at once by doubling: h(i, 2m) = h(i, m) << m xor h(i + m, m).
+Each window of w consecutive k-gram hashes selects its smallest, the rightmost of equal ones; every value carries its
+position, so the pair (hash, position) is one long and a window minimum is a plain minimum. Any passage of
+k + w - 1 units that two texts share, at whatever offset, gives them a common fingerprint hash.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
-
-PRIME = (1 << 31) - 1
-BASE = 1_000_003
-UNIT = r"[^\x20\x09-\x0D]{1,4}"
-#: Positions fit in 31 bits; a value is hash * 2^31 + (2^31 - 1 - position).
+SPACES = " \t\n\x0b\x0c\r"
+K, W = 8, 8
+#: Positions fit in 31 bits; a value is hash * 2^31 + (2^31 - 1 - position), the hash being the upper 32 bits of a k-gram's but one.
 PLACE = 1 << 31
 MAX_CUTS = 65_536
 
 
-def _tail(column: str, skip: int) -> Column:
-    return F.slice(column, skip + 1, F.greatest(F.size(column) - skip, F.lit(0)))
-
-
 def _pairwise(left: str, skip: int, join) -> Column:
     """join(x[i], x[i + skip]) for every i that has both."""
     n = F.greatest(F.size(left) - skip, F.lit(0))
     return F.zip_with(F.slice(left, 1, n), F.slice(left, skip + 1, n), join)
 
 
-def _rolled(power: int):
-    return lambda a, b: F.pmod(a * F.lit(power) + b, F.lit(PRIME))
+def _rolled(span: int):
+    return lambda a, b: F.shiftleft(a, span).bitwiseXOR(b)
 
 
-def add_fingerprint(df: DataFrame, text: str, out: str, k: int = 4, w: int = 4) -> DataFrame:
+def add_fingerprint(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
     """Adds out: array of the selected values hash * 2^31 + (2^31 - 1 - position), in order of position.
 
     A text with fewer than k units has one k-gram, of all its units; fewer than w k-grams are one
@@ -48,21 +41,28 @@ def add_fingerprint(df: DataFrame, text: str, out: str, k: int = 4, w: int = 4)
     """
     if k & (k - 1) or w & (w - 1):
         raise ValueError("k and w are powers of two")
-    units = F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(UNIT), F.lit(0)), lambda u: F.pmod(F.xxhash64(u), F.lit(PRIME)))
-    df = df.withColumn("_g", units)
+    none = F.array().cast("array<bigint>")
+    df = df.withColumn("_u", F.translate(F.coalesce(F.col(text), F.lit("")), SPACES, ""))
+    df = df.withColumn("_g", F.when(F.col("_u") != "", F.transform(F.split("_u", ""), lambda u: F.xxhash64(u))).otherwise(none)).drop("_u")
     # short texts are padded to one k-gram with zeros, which no other k-gram can be told from only by chance
     df = df.withColumn("_g", F.when((F.size("_g") > 0) & (F.size("_g") < k), F.slice(F.concat("_g", F.array_repeat(F.lit(0).cast("bigint"), k - 1)), 1, k)).otherwise(F.col("_g")))
     span = 1
-    while span < k:
-        df = df.withColumn("_g", _pairwise("_g", span, _rolled(pow(BASE, span, PRIME))))
+    while 2 * span < k:
+        df = df.withColumn("_g", _pairwise("_g", span, _rolled(span)))
         span *= 2
-    df = df.withColumn("_v", F.transform("_g", lambda h, i: h * F.lit(PLACE) + (F.lit(PLACE - 1) - i)))
+    # the last doubling and the packing with the position in one pass
+    packed = lambda h, i: F.shiftrightunsigned(h, 1).bitwiseAND(F.lit(-PLACE)).bitwiseOR(F.lit(PLACE - 1) - i)
+    if k > 1:
+        last = F.slice("_g", 1, F.greatest(F.size("_g") - span, F.lit(0)))
+        df = df.withColumn("_v", F.transform(last, lambda h, i: packed(_rolled(span)(h, F.get("_g", i + span)), i)))
+    else:
+        df = df.withColumn("_v", F.transform("_g", packed))
     span = 1
-    df = df.withColumn("_m", F.when(F.size("_v") >= w, F.col("_v")).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn("_m", F.when(F.size("_v") >= w, F.col("_v")).otherwise(none))
     while span < w:
         df = df.withColumn("_m", _pairwise("_m", span, lambda a, b: F.least(a, b)))
         span *= 2
-    whole = F.when(F.size("_v") > 0, F.array(F.array_min("_v"))).otherwise(F.array().cast("array<bigint>"))
+    whole = F.when(F.size("_v") > 0, F.array(F.array_min("_v"))).otherwise(none)
     return df.withColumn(out, F.when(F.size("_m") > 0, F.array_distinct("_m")).otherwise(whole)).drop("_g", "_v", "_m")
 
 
@@ -77,8 +77,8 @@ def positions(values: str) -> Column:
 
 
 def as_string(values: str) -> Column:
-    """The selected hashes in order of position, hexadecimal, as hash:position joined by spaces."""
-    return F.array_join(F.transform(values, lambda v: F.concat(F.lower(F.hex(F.shiftright(v, 31))), F.lit(":"), (F.lit(PLACE - 1) - F.pmod(v, F.lit(PLACE))).cast("string"))), " ")
+    """The selected values, hash and position, in order of position, hexadecimal, joined by spaces."""
+    return F.array_join(F.transform(values, lambda v: F.hex(v)), " ")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -88,7 +88,7 @@ def likeness(a: str, b: str) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(shared / F.greatest(union, F.lit(1))).cast("double")
 
 
-def fingerprint(docs: DataFrame, k: int = 4, w: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id_col, fingerprint (array<bigint> of hashes) and positions (array<int>) of every whole text.
 
     Null and empty texts have empty arrays; equal texts have equal fingerprints; repeated rows and
@@ -98,9 +98,11 @@ def fingerprint(docs: DataFrame, k: int = 4, w: int = 4, id_col: str = "doc_id",
     return rows.select(F.col("_id").alias(id_col), F.transform("_f", lambda v: F.shiftright(v, 31)).alias("fingerprint"), positions("_f").alias("positions"))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = 1024) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = 1024, enrich: Callable[[DataFrame], DataFrame] | None = None, following: dict[str, str] | None = None) -> DataFrame:
     """_id, _text and _next, the text of the row after it in ascending order of id; the first row follows the last.
 
+    enrich adds columns to the rows once they are dealt, and following names those of them to take from the next row too.
+
     Ids are cut into ranges at quantiles, at most MAX_CUTS, and ordered within each range, so no task sees all
     rows. The first row of each range is copied to the range before it. Null ids come first;
     equal ids are in order of their texts. Needs two passes over the id column and one exchange of texts.
@@ -109,8 +111,10 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int =
     ids = rows.select(F.coalesce("_id", F.lit(-(1 << 63))).alias("_k"))
     n = ids.count()
     cuts = min(MAX_CUTS, math.ceil(n / rows_per_range))
+    enrich, following = enrich or (lambda df: df), following or {}
     if n == 0:
-        return rows.withColumn("_next", F.lit(""))
+        rows = enrich(rows)
+        return rows.withColumn("_next", F.lit("")).withColumns({to: F.col(c) for c, to in following.items()})
     low = ids.agg(F.percentile_approx("_k", [i / cuts for i in range(cuts)], 10 * min(cuts, 10_000)).alias("q")).first()["q"]
     low = sorted(set(low))
     # binary search among the cuts, a bounded array: the number of cuts at or below the id
@@ -136,23 +140,25 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int =
     earlier = F.struct(F.get(F.lit(before), F.col("_range")).cast("int").alias("r"), F.lit(True).alias("copy"))
     copied = ranged(rows).withColumn("_to", F.when(F.col("_k") == F.get(F.lit(first), F.col("_range")), F.array(here, earlier)).otherwise(F.array(here)))
     spread = copied.select("_id", "_text", "_k", F.explode("_to").alias("_to")).select("_id", "_k", "_text", "_to.r", "_to.copy")
-    following = F.lead("_text").over(Window.partitionBy("r").orderBy("copy", "_k", F.xxhash64("_text"), "_text"))
-    return spread.withColumn("_next", following).where(~F.col("copy")).select("_id", "_text", F.coalesce("_next", F.lit("")).alias("_next"))
+    dealt = enrich(spread.repartition("r"))
+    after = Window.partitionBy("r").orderBy("copy", "_k", F.xxhash64("_text"), "_text")
+    dealt = dealt.withColumns({to: F.lead(c).over(after) for c, to in {"_text": "_next", **following}.items()})
+    return dealt.where(~F.col("copy")).withColumn("_next", F.coalesce("_next", F.lit(""))).drop("_k", "r", "copy")
 
 
-def fingerprint_with_edits(docs: DataFrame, k: int = 4, w: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_with_edits(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every whole text, of its edited text, and their likeness.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many, or all, of
-    the next document. Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint (strings of hash:position),
+    the next document. Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint (strings of hexadecimal values),
     near_edited, near_next. Null texts count as empty; a table of one row follows itself.
     """
-    rows = with_next(docs, id_col, text_col)
+    # every text is fingerprinted once; the next document's hashes come with its text
+    own = lambda df: add_fingerprint(df, "_text", "_f", k, w).withColumn("_fh", hashes("_f"))
+    rows = with_next(docs, id_col, text_col, enrich=own, following={"_fh": "_xh"})
     rows = rows.withColumn("n_chars", F.length("_text").cast("long")).withColumn("_half", F.expr("cast(length(_text) div 2 as int)"))
     rows = rows.withColumn("_edited", F.concat(F.expr("substring(_text, 1, length(_text) - _half)"), F.expr("substring(_next, 1, _half)")))
-    for text, out in (("_text", "_f"), ("_edited", "_e"), ("_next", "_x")):
-        rows = add_fingerprint(rows, text, out, k, w)
-    rows = rows.withColumn("_fh", hashes("_f")).withColumn("_eh", hashes("_e")).withColumn("_xh", hashes("_x"))
+    rows = add_fingerprint(rows, "_edited", "_e", k, w).withColumn("_eh", hashes("_e"))
     return rows.select(
         F.col("_id").alias(id_col), "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), as_string("_f").alias("fingerprint"),
         as_string("_e").alias("edited_fingerprint"), likeness("_fh", "_eh").alias("near_edited"), likeness("_fh", "_xh").alias("near_next"),

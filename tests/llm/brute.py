@@ -175,20 +175,24 @@ def mixed(rows, seed="mix-1", temperature=0.5, weights=None, other=0.0):
     return sorted(out, key=lambda r: (r[2], rows[r[0]][0] or -1, r[1]))
 
 
-def winnowed(text, k=4, w=4, prime=(1 << 31) - 1, base=1_000_003):
+def winnowed(text, k=8, w=8):
     """[(hash, position)] by the definition: every window, smallest hash, rightmost of equal ones."""
-    units = [x[i : i + 4] for x in words(text) for i in range(0, len(x), 4)]
-    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
-    h = [signed(xxhash.xxh64_intdigest(u.encode(), 42)) % prime for u in units]
+    units = [c for c in text or "" if c not in " \t\n\x0b\x0c\r"]
+    h = [xxhash.xxh64_intdigest(u.encode(), 42) for u in units]
     if not h:
         return []
     h += [0] * (k - len(h))
-    grams = [sum(h[i + j] * pow(base, k - 1 - j, prime) for j in range(k)) % prime for i in range(len(h) - k + 1)]
+    grams = []
+    for i in range(len(h) - k + 1):
+        g = 0
+        for x in h[i : i + k]:  # rolls as g << 1 xor x, in 64 bits
+            g = (g << 1) % (1 << 64) ^ x
+        grams.append(g >> 32)
     out = []
     for i in range(max(1, len(grams) - w + 1)):
-        window = list(enumerate(grams))[i : i + w]
+        window = list(enumerate(grams))[i : i + w] if len(grams) < 100 else [(j, grams[j]) for j in range(i, min(i + w, len(grams)))]
         best = min(window, key=lambda p: (p[1], -p[0]))
-        if (best[1], best[0]) not in out:
+        if not out or (best[1], best[0]) != out[-1]:
             out.append((best[1], best[0]))
     return out
 

@@ -390,7 +390,7 @@ def test_edited(spark, edges, small, nothing):
         own, new, other = ({h for h, _ in brute.winnowed(x)} for x in (t, edited, following))
         r = out[i]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["fingerprint"] == " ".join(f"{h:x}:{p}" for h, p in brute.winnowed(t))
+        assert r["fingerprint"] == " ".join(f"{(h << 31) + (1 << 31) - 1 - p:X}" for h, p in brute.winnowed(t))
         assert r["near_edited"] == pytest.approx(like(own, new)) and r["near_next"] == pytest.approx(like(own, other))
     assert winnow.fingerprint_with_edits(edges).count() == len(edge_rows())
     assert winnow.fingerprint_with_edits(nothing).count() == 0
@@ -402,11 +402,15 @@ def test_winnowing_is_native(small):
 
 
 def test_match_guarantee():
+    """Passages of 15 characters, shifted by any number of characters, with and without spaces."""
     rng = random.Random(9)
-    for _ in range(200):
-        shared = passage(rng.random(), 12)
-        a, b = (f"{passage(rng.random(), rng.randint(0, 9))} {shared} {passage(rng.random(), rng.randint(0, 9))}" for _ in range(2))
+    for _ in range(300):
+        shared = "".join(rng.choice("abcdefgh é漢") for _ in range(60))
+        a, b = ("".join(rng.choice("xyz") for _ in range(rng.randint(0, 40))) + shared + "y" * rng.randint(0, 9) for _ in range(2))
         assert {h for h, _ in brute.winnowed(a)} & {h for h, _ in brute.winnowed(b)}
+    run = "".join(rng.choice("abcdefgh") for _ in range(60))
+    shifted = {h for h, _ in brute.winnowed("q" + run)}
+    assert len({h for h, _ in brute.winnowed(run)} & shifted) >= 8
 
 
 # 9
