@@ -1,12 +1,12 @@
 """Operator 2: main text of web pages, with site templates found by recurring element subtrees.
 
 Pass one parses each page and hashes every block element, bottom up
-from tag, class, id, own text and child hashes. Spark counts in how many pages of its host each hash occurs;
-subtrees that recur across many pages of the host are template. Pass two parses again, drops
+from tag, class, id, own text and child hashes. Spark counts, per host, in how many different surroundings each hash occurs,
+a surrounding being the longest other block of the page; subtrees that recur across many of them are template, copies of a page are not. Pass two parses again, drops
 template subtrees together with elements that are never main text (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments), and joins the blocks left.
-Inside an article element (hashed apart from what lies outside) a subtree is judged by the number of its different
-surroundings, each told by the longest other block of the article: copies of an article are not template.
+Inside an article element (hashed apart from what lies outside) the surroundings are the other blocks of the article, and a
+template must also recur on a share of the host's pages, as short paragraphs of plain text recur by chance.
 """
 
 from __future__ import annotations
@@ -159,9 +159,10 @@ class Page:
         close(0)
 
     def hashes(self) -> dict[int, int]:
-        """Hash of each subtree -> hash of its surroundings: 0 outside articles, and where it is all of the article."""
+        """Hash of each subtree -> hash of its surroundings, the longest other block of its article or, outside, of the page; 0 if there is none."""
         longest: dict[int, list[tuple[str, tuple[int, ...]]]] = {}  # of each article, its blocks from the longest
         for text, held, in_article, _ in self.blocks:
+            longest.setdefault(0, []).append((text, held))
             if in_article:
                 longest.setdefault(max(self.inside[k] for k in held), []).append((text, held))
         for blocks in longest.values():
@@ -190,28 +191,30 @@ def host_of(url: str) -> Column:
 
 
 def template_subtrees(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 10, least_share: float = 0.2) -> DataFrame:
-    """host, subtree, n_pages: subtrees in at least least_pages pages and least_share of the pages of a host.
+    """host, subtree, n_pages: subtrees in at least least_pages pages of a host; inside articles also in least_share of its pages.
 
-    Pages in which a subtree of an article has the same surroundings count as one; without any it is no template.
+    Pages in which a subtree has the same surroundings count as one; pages without any do not count.
     """
 
     def run(batch):
-        hosts, hashes, around = [], [], []
+        hosts, hashes, around, within = [], [], [], []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = {0: (0, False)}  # 0 stands for the page itself
+            own = {0: (None, False)}  # 0 stands for the page itself
             page = Page(source)
             inside = {_signed(h) for h, a in zip(page.subtrees, page.inside, strict=True) if a}
-            own |= {h: (a, h in inside) for h, a in page.hashes().items() if h and (a or h not in inside)}
+            own |= {h: (a, h in inside) for h, a in page.hashes().items() if h and a}
             hosts += [host] * len(own)
             hashes += own
-            around += [a if within else None for a, within in own.values()]
-        return {"host": hosts, "subtree": hashes, "around": around}
+            around += [a for a, _ in own.values()]
+            within += [x for _, x in own.values()]
+        return {"host": hosts, "subtree": hashes, "around": around, "within": within}
 
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    found = cut(map_batches(rows, run, "host string, subtree bigint, around bigint").groupBy("host", "subtree", "around").agg(F.count(F.lit(1)).alias("_n")).groupBy("host", "subtree").agg(F.sum(F.when(F.col("around").isNull(), F.col("_n")).otherwise(1)).alias("n_pages")))
+    each = map_batches(rows, run, "host string, subtree bigint, around bigint, within boolean").groupBy("host", "subtree", "around", "within").agg(F.count(F.lit(1)).alias("_n"))
+    found = cut(each.groupBy("host", "subtree").agg(F.sum(F.when(F.col("around").isNull(), F.col("_n")).otherwise(1)).alias("n_pages"), F.bool_or("within").alias("within")))
     often = found.where((F.col("subtree") != 0) & (F.col("n_pages") >= least_pages))
     sizes = found.where(F.col("subtree") == 0).select("host", F.col("n_pages").alias("_all"))
-    return often.join(sizes, "host").where(F.col("n_pages") >= least_share * F.col("_all")).select("host", "subtree", "n_pages")
+    return often.join(sizes, "host").where(~F.col("within") | (F.col("n_pages") >= least_share * F.col("_all"))).select("host", "subtree", "n_pages")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 10, least_share: float = 0.2, broadcast_rows: int = 500_000) -> DataFrame:

@@ -147,6 +147,32 @@ def test_templates_inside_articles(spark):
     assert all(got[100 + i] == f"Copied {passage(99, 40)} {passage(98, 20)} Edit {i % 15}" for i in range(30))
 
 
+def test_template_counts_against_brute_force(spark):
+    """Per host: different surroundings of every subtree, counted in plain Python over parsed pages."""
+    boxes = [f"<div class='b{k}'><p>Box {k}</p><p>more of {k}</p></div>" for k in range(4)]
+    rows = []
+    for i in range(120):
+        rng = random.Random(i)
+        own = f"<p>{passage(i % 90, 25)}</p>"
+        body = (rng.choice(boxes) + own + rng.choice(boxes)) if i % 3 else f"<article>{own}{rng.choice(boxes)}<p>The.</p></article>{rng.choice(boxes)}"
+        rows.append((i, f"http://h{i % 2}.example/{i}", f"<html><body>{body}</body></html>"))
+    seen, pages, within = {}, {}, set()
+    for i, url, source in rows:
+        host, page = url.split("/")[2], html.Page(source)
+        pages[host] = pages.get(host, 0) + 1
+        within |= {html._signed(h) for h, a in zip(page.subtrees, page.inside, strict=True) if a}
+        for k, h in enumerate(page.subtrees):
+            others = [(len(t), t) for t, held, *_ in page.blocks if k not in held and (not page.inside[k] or any(page.inside[x] == page.inside[k] for x in held))]
+            if others:
+                seen.setdefault((host, html._signed(h)), set()).add(sorted(others, key=lambda o: (-o[0], o[1]))[0][1])
+    want = {key: len(s) for key, s in seen.items() if len(s) >= 10 and (key[1] not in within or len(s) >= 0.2 * pages[key[0]])}
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {(r["host"], r["subtree"]): r["n_pages"] for r in html.template_subtrees(df).collect()} == want and len(want) >= 8
+    text = {r["page_id"]: r["text"] for r in html.extract_text(df).collect()}
+    assert all(text[i] == passage(i % 90, 25) for i in range(120) if i % 3)
+    assert text[1] != html.Page(rows[1][2]).text(set())  # without the templates the boxes would stay
+
+
 def test_subtrees_hold_text_of_open_inline_elements():
     one, two = (html.Page(f"<article><p><b>{t}<p>same</article>") for t in ("one", "two"))
     assert one.subtrees[1] != two.subtrees[1] and one.subtrees[2] == two.subtrees[2]
