@@ -6,7 +6,7 @@ rates is then held against a minimum-covariance-determinant estimate of its lang
 1. Three starts per group: medians with absolute deviations alone, and with the correlations of the squashed and of the
    spatial-sign scores.
 2. Each concentration step keeps the half of the group (parameter coverage) with the smallest Mahalanobis distances and
-   estimates mean and covariance from it, until no determinant changes. The start with the least determinant wins.
+   estimates mean and covariance from it, until no determinant changes by 2 %, or six times (parameter steps). The start with the least determinant wins.
 3. The covariance is made consistent for normal rows, and estimated once more from all rows within the 97.5 % ellipsoid.
 4. Rows whose squared distance exceeds the chi-square quantile of the parameter tail are rejected.
 
@@ -201,10 +201,10 @@ def _estimate(rows: DataFrame, share: float, prior_rows: float) -> DataFrame:
     return g.join(F.broadcast(whole), ["_s"]).selectExpr("_g", "_s", w, *[f"w * o{i} + (1 - w) * p_o{i} AS m{i}" for i in range(P)], *cov, *_factor()).select(*ESTIMATE)
 
 
-def mcd_estimates(members: DataFrame, coverage: float = 0.5, steps: int = 12, prior_rows: float = 30.0) -> DataFrame:
+def mcd_estimates(members: DataFrame, coverage: float = 0.5, steps: int = 6, prior_rows: float = 30.0) -> DataFrame:
     """One estimate (ESTIMATE) per _g of members (_g, x0..x3), in which every row also occurs with _g = ALL.
 
-    steps bounds the concentration steps; they end as soon as no determinant changes by 1 %.
+    steps bounds the concentration steps; they end as soon as no determinant changes by 2 %.
     """
     n = members.select("_g").distinct().count()
     hint = F.broadcast if 3 * n <= MOST_BROADCAST else (lambda df: df)  # one check for all tables of one or three rows per group
@@ -216,7 +216,7 @@ def mcd_estimates(members: DataFrame, coverage: float = 0.5, steps: int = 12, pr
         now = cut(_estimate(inside, coverage, prior_rows))
         moved = now.select("_g", "_s", "ld").join(hint(groups.selectExpr("_g", "_s", "ld AS _old")), ["_g", "_s"]).agg(F.expr("max(abs(ld - _old))")).first()[0]
         groups = now
-        if moved is None or moved <= 0.01:
+        if moved is None or moved <= 0.02:
             break
     best = groups.groupBy("_g").agg(F.expr(f"min_by(struct({', '.join(ESTIMATE[2:])}), struct(round(ld, 9), _s)) AS _e")).select("_g", F.lit(0).alias("_s"), "_e.*")
     # every row within the 97.5 % ellipsoid counts in the last estimate; only the better start of each group is left
@@ -227,7 +227,7 @@ def mcd_estimates(members: DataFrame, coverage: float = 0.5, steps: int = 12, pr
     return last.unionByName(none.join(F.broadcast(last.where(F.col("_g") == ALL).drop("_g")), ["_s"]))
 
 
-def quality_verdicts(docs: DataFrame, tail: float = 1e-6, coverage: float = 0.5, steps: int = 12, prior_rows: float = 30.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+def quality_verdicts(docs: DataFrame, tail: float = 1e-6, coverage: float = 0.5, steps: int = 6, prior_rows: float = 30.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """Base statistics and verdict for every row of docs.
 
     Returns the columns carry, id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,

@@ -70,7 +70,7 @@ def base(text):
     return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
-def verdicts(rows, tail=1e-6, coverage=0.5, steps=12, prior=30.0, resolution=(0.02, 0.05, 0.1, 0.1)):
+def verdicts(rows, tail=1e-6, coverage=0.5, steps=6, prior=30.0, resolution=(0.02, 0.05, 0.1, 0.1)):
     """(text, lang, source) -> (base..., base_failed, kept) per row: minimum covariance determinants, group by group."""
     stats = [base(t) for t, _, _ in rows]
     failed = [n < 50 or 100 * r > 50 * n for n, _, _, _, r in stats]
@@ -133,7 +133,7 @@ def verdicts(rows, tail=1e-6, coverage=0.5, steps=12, prior=30.0, resolution=(0.
         new = {g: [(raw[g, s][1], raw[g, s][2] + least) if g == "all" else shrunk(raw[g, s], raw["all", s]) for s in range(3)] for g in members}
         moved = max(abs(np.linalg.slogdet(new[g][s][1])[1] - np.linalg.slogdet(now[g][s][1])[1]) for g in members for s in range(3))
         now = new
-        if moved <= 0.01:
+        if moved <= 0.02:
             break
     last = {}
     for g, v in members.items():
