@@ -87,7 +87,7 @@ ORACLE_SQL = {
         cdf AS (SELECT source, list(c ORDER BY k) AS cs FROM (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM r, range(0, 190) t(k)) GROUP BY source),
         u AS (SELECT doc_id, d.source, text, list_transform(range(parts), lambda p: ('0x' || substr(md5('{mixing.SEED}|copies|' || coalesce(doc_id::VARCHAR, 'null') || CASE WHEN p = 0 THEN '' ELSE '|' || p END), 1, 12))::BIGINT / 281474976710656.0) AS us
               FROM documents d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-        m AS (SELECT u.doc_id, u.source, u.text, list_sum(list_transform(us, lambda x: len(list_filter(cs, lambda c: c <= x)))) AS copies FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source)
+        m AS (SELECT u.doc_id, u.source, u.text, list_sum(list_transform(us, lambda x: len(list_filter(cs, lambda c: c <= x))))::BIGINT AS copies FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source)
         SELECT doc_id, source, copy::INTEGER AS copy, substr(md5('{mixing.SEED}|order|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy), 1, 16) AS shuffle_key, sha256(coalesce(text, '')) AS text_sha256
         FROM (SELECT *, unnest(range(0, copies)) AS copy FROM m)""",
     "op10_jaccard_join": f"""
