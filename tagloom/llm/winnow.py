@@ -88,6 +88,22 @@ def likeness(a: str, b: str) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(shared / F.greatest(union, F.lit(1))).cast("double")
 
 
+def within(values: str, units: Column, k: int = K, w: int = W) -> Column:
+    """The selected values of windows that lie within the first units of a text, from all of its values in order of position.
+
+    A value's first window ends with it where it beats the value before it, the rightmost of equal ones winning; else it starts
+    just after that value. So the windows of a text need not be gone through again. A text of fewer than k + w - 1 units has none.
+    """
+    place = lambda v: F.lit(PLACE - 1) - v.bitwiseAND(F.lit(PLACE - 1))
+    last = units - (k + w - 1)
+
+    def starts(v, i):
+        before = F.get(values, i - 1)
+        return F.when(i == 0, F.lit(0)).when(v < before, place(v) - (w - 1)).otherwise(place(before) + 1)
+
+    return F.when(last >= 0, F.filter(values, lambda v, i: starts(v, i) <= last)).otherwise(F.array().cast("array<bigint>"))
+
+
 def fingerprint(docs: DataFrame, k: int = K, w: int = W, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id_col, fingerprint (array<bigint> of hashes) and positions (array<int>) of every whole text.
 
@@ -150,16 +166,26 @@ def fingerprint_with_edits(docs: DataFrame, k: int = K, w: int = W, id_col: str
     """Fingerprints of every whole text, of its edited text, and their likeness.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many, or all, of
-    the next document. Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint (strings of hexadecimal values),
+    the next document. Its values come from those of the two documents and from the windows over the seam. Returns id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint (strings of hexadecimal values),
     near_edited, near_next. Null texts count as empty; a table of one row follows itself.
     """
-    # every text is fingerprinted once; the next document's hashes come with its text
-    own = lambda df: add_fingerprint(df, "_text", "_f", k, w).withColumn("_fh", hashes("_f"))
-    rows = with_next(docs, id_col, text_col, enrich=own, following={"_fh": "_xh"})
+    # every text is fingerprinted once; the next document's values come with its text
+    rows = with_next(docs, id_col, text_col, enrich=lambda df: add_fingerprint(df, "_text", "_f", k, w), following={"_f": "_xf"})
     rows = rows.withColumn("n_chars", F.length("_text").cast("long")).withColumn("_half", F.expr("cast(length(_text) div 2 as int)"))
-    rows = rows.withColumn("_edited", F.concat(F.expr("substring(_text, 1, length(_text) - _half)"), F.expr("substring(_next, 1, _half)")))
-    rows = add_fingerprint(rows, "_edited", "_e", k, w).withColumn("_eh", hashes("_e"))
+    rows = rows.withColumn("_head", F.expr("substring(_text, 1, length(_text) - _half)")).withColumn("_tail", F.expr("substring(_next, 1, _half)"))
+    # the edited text's windows are the head's, the tail's, and those over the seam, which see k + w - 2 units on either side at most
+    side = k + w - 2
+    rows = rows.withColumn("_hu", F.translate("_head", SPACES, "")).withColumn("_tu", F.translate("_tail", SPACES, ""))
+    rows = rows.withColumn("_hn", F.length("_hu")).withColumn("_tn", F.length("_tu"))
+    over = F.concat(F.right("_hu", F.lit(side)), F.left("_tu", F.lit(side)))
+    short = (F.col("_hn") + F.col("_tn")) <= side
+    rows = rows.withColumn("_seam", F.when(short, F.concat("_hu", "_tu")).when((F.col("_hn") > 0) & (F.col("_tn") > 0), over).otherwise(F.lit("")))
+    rows = rows.withColumn("_at", F.when(short, F.lit(0)).otherwise(F.greatest(F.col("_hn") - side, F.lit(0))))
+    rows = add_fingerprint(rows.drop("_hu", "_tu"), "_seam", "_s", k, w)
+    later = lambda values, by: F.transform(values, lambda v: v - F.col(by))
+    edited = F.concat(within("_f", F.col("_hn"), k, w), later("_s", "_at"), later(within("_xf", F.col("_tn"), k, w), "_hn"))
+    rows = rows.withColumn("_e", F.array_distinct(edited)).withColumn("_fh", hashes("_f")).withColumn("_eh", hashes("_e")).withColumn("_xh", hashes("_xf"))
     return rows.select(
-        F.col("_id").alias(id_col), "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"), as_string("_f").alias("fingerprint"),
+        F.col("_id").alias(id_col), "n_chars", F.sha2(F.concat("_head", "_tail").cast("binary"), 256).alias("edited_sha256"), as_string("_f").alias("fingerprint"),
         as_string("_e").alias("edited_fingerprint"), likeness("_fh", "_eh").alias("near_edited"), likeness("_fh", "_xh").alias("near_next"),
     )
