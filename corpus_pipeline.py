@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import bpe, jaccard_join, mixing, quality, substring_dedup
-from tagloom.llm.common import read
+from tagloom.llm.common import cut, read
 from tagloom.llm.queries import OTHER_TARGET, TARGETS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Up to so many repeated ids are broadcast; more are joined by a shuffle.
+MOST_REPEATED = 100_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     rows = docs.select(*COLUMNS)
     again = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_again"))
+    again = cut(again)
+    again = F.broadcast(again) if again.count() <= MOST_REPEATED else again  # texts are not shuffled for the few ids that repeat
     # keys of such rows lie above all others: 2^62 and a hash of 62 bits
     own = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(*COLUMNS), 2)
     keyed = rows.join(again, rows["doc_id"].eqNullSafe(again["_id"]), "left").withColumn("_key", F.when(F.col("_again"), own).otherwise(F.col("doc_id").cast("bigint"))).drop("_id", "_again")
