@@ -163,6 +163,11 @@ class WordBpe:
         return out
 
 
+    def rest(self) -> None:
+        """Between tasks the young generation is kept and the old one is not."""
+        self.old = {}
+
+
 _encoders: dict[str, WordBpe] = {}
 
 
@@ -200,4 +205,4 @@ def _mapped(docs, file, id_col, text_col, columns, shape) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return map_batches(rows, run, f"id {kind}, {columns}").withColumnRenamed("id", id_col)
+    return map_batches(rows, run, f"id {kind}, {columns}", lambda: encoder(file).rest()).withColumnRenamed("id", id_col)

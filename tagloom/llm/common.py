@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import zlib
@@ -20,20 +21,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
+def release() -> None:
+    """Give free memory back to the system, as idle workers share an executor's memory with the JVM stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str, done: Callable[[], None] = lambda: None) -> DataFrame:
     """Narrow Arrow map, at most BATCH_ROWS rows a call so that long texts stay within memory.
 
-    fn is called with one record batch and returns a dict of columns in the order of schema.
+    fn is called with one record batch and returns a dict of columns in the order of schema; done is called when a task ends.
     """
     from pyspark.sql.types import StructType
 
     arrow = _arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH_ROWS):
-                out = fn(whole.slice(at, BATCH_ROWS))
-                yield pa.record_batch([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, BATCH_ROWS):
+                    out = fn(whole.slice(at, BATCH_ROWS))
+                    yield pa.record_batch([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        finally:
+            done()
+            release()
 
     return df.mapInArrow(run, schema)
 
