@@ -17,6 +17,8 @@ def default_aliases(slugs: list[str], forms: tuple[str, ...] = ("{}",)) -> dict[
 RULE_LABELS = ["email", "ipv4", "phone_number", "credit_debit_card", "proper_word"]
 VOCABULARY = sorted([*RULE_LABELS, "age", "api_key", "city", "country", "county", "date", "date_of_birth", "date_time", "first_name", "last_name", "occupation", "postcode", "state", "time", "url"])
 FAMILIES = [["date", "date_of_birth", "date_time", "time"], ["city", "country", "county", "postcode", "state"], ["first_name", "last_name"]]
+#: Labels of which each is contained in, or akin to, the next.
+CHAINS = [["city", "county", "state", "country"], ["time", "date_time", "date", "date_of_birth"], ["first_name", "last_name"]]
 DATE_FAMILY = ["date", "date_of_birth", "date_time", "time"]
 # Rules rendered in guided requests.
 RULES = {

@@ -77,7 +77,7 @@ def tallied(parsed: DataFrame) -> DataFrame:
     return a.select(*parsed.columns, F.col("_t.labels").alias("labels"), F.struct(*map(total, ("tp", "fp", "fn"))).alias("exact"), relaxed.alias("relaxed"))
 
 
-def _sums(of: str = "", where: Column | None = None, to: str = "") -> list[Column]:
+def sum_columns(of: str = "", where: Column | None = None, to: str = "") -> list[Column]:
     value = lambda c: F.col(f"{of}{c}") if where is None else F.when(where, F.col(f"{of}{c}"))
     return [F.coalesce(F.sum(value(c)), F.lit(0)).cast("bigint").alias(f"{to}{c}") for c in ("tp", "fp", "fn")]
 
@@ -99,7 +99,7 @@ def summary(parsed: DataFrame) -> DataFrame:
     sums = []
     for tally in TALLIES:
         rows, mode = tally.split("_")
-        sums += _sums(f"{mode}.", F.col("bad").isNull() if rows == "parseable" else None, f"{tally}_")
+        sums += sum_columns(f"{mode}.", F.col("bad").isNull() if rows == "parseable" else None, f"{tally}_")
     return tallied(parsed).agg(*_ops(), *sums)
 
 
@@ -112,14 +112,14 @@ def micro(parsed: DataFrame) -> DataFrame:
 def by_label(parsed: DataFrame, supported_only: bool = False) -> DataFrame:
     """label, support, tp, fp, fn, p, r, f1 of exact strict matches; worst first, equal ones in order of their first row."""
     t = tallied(parsed).select("row_id", F.posexplode("labels").alias("pos", "t")).select("row_id", "pos", "t.*")
-    t = t.groupBy("label").agg(*_sums(), F.min(F.struct("row_id", "pos")).alias("first"))
+    t = t.groupBy("label").agg(*sum_columns(), F.min(F.struct("row_id", "pos")).alias("first"))
     t = t.where("tp + fn > 0") if supported_only else t
     return t.select("label", (F.col("tp") + F.col("fn")).alias("support"), "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")), "first").orderBy("f1", "first").drop("first")
 
 
 def by_source(parsed: DataFrame) -> DataFrame:
     """source, rows (bad ones too), tp, fp, fn, p, r, f1 of exact strict matches; by name."""
-    t = tallied(parsed).groupBy("source").agg(F.count(F.lit(1)).alias("rows"), *_sums("exact."))
+    t = tallied(parsed).groupBy("source").agg(F.count(F.lit(1)).alias("rows"), *sum_columns("exact."))
     return t.select("source", "rows", "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn"))).orderBy("source")
 
 

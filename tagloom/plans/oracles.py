@@ -269,6 +269,14 @@ ORACLES = {
     "mixture_stats": f"""{_mixture(1)} SELECT source, count(*) FILTER (WHERE kept) AS rows, 0::BIGINT AS skip_overlap, 0::BIGINT AS skip_alias, count(*) FILTER (WHERE negative) AS neg_rows,
         count(*) FILTER (WHERE NOT kept) AS neg_dropped, 0::BIGINT AS relabeled_subset FROM w GROUP BY source""",
     "emitted_limit": f"{_mixture(1)} SELECT doc_id AS row_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM w WHERE kept) WHERE n <= 3",
+    "containment_negatives": f"""WITH {SPARSE}, ch AS (SELECT * FROM (VALUES {', '.join(f"({k}, {arr(c)})" for k, c in enumerate(L.CHAINS))}) t(chain, labels)),
+        pos AS (SELECT chain, unnest(labels) AS label, unnest(range(len(labels))) AS j FROM ch), hold AS (SELECT doc_id, chain, label, j, list_contains(present, label) AS held FROM pres, pos),
+        edge AS (SELECT a.doc_id, a.chain, list(a.label ORDER BY a.j) AS el FROM hold a WHERE NOT a.held AND EXISTS (SELECT 1 FROM hold b WHERE b.doc_id = a.doc_id AND b.chain = a.chain AND b.held AND abs(b.j - a.j) = 1) GROUP BY ALL),
+        ask AS (SELECT doc_id, chain, el[({draw(mixture.SEED_V2, 'doc_id', 'edge', 'chain')} % len(el) + 1)::INTEGER] AS asked FROM edge)
+        SELECT doc_id AS row_id, chain::INTEGER AS chain, asked, md5({q(X.REQUEST_HEAD)} || '- ' || replace(asked, '_', ' ') || {q(X.REQUEST_TEXT)} || text) AS user_md5 FROM ask JOIN documents USING (doc_id)""",
+    "probe_axes": f"""WITH {EVENTS}, ax AS (SELECT b.doc_id, bad, s.doc_id IS NULL AS absent, CASE WHEN b.doc_id % 10 <> 0 THEN 'axis' || (b.doc_id % 3) END AS axis FROM bad b LEFT JOIN (SELECT DISTINCT doc_id FROM s) s USING (doc_id)),
+        a AS (SELECT axis, {SUMS} FROM ax JOIN ev USING (doc_id) GROUP BY axis), b AS (SELECT axis, count(*) AS rows, count(bad) AS bad, count(*) FILTER (WHERE absent) AS absent, count(*) FILTER (WHERE absent AND bad IS NULL) AS abstained FROM ax GROUP BY axis)
+        SELECT b.axis, rows, bad, absent, abstained, tp, fp, fn, {PRF} FROM b JOIN a ON a.axis IS NOT DISTINCT FROM b.axis""",
     "job_audit": f"""WITH {SPARSE}, pc AS (SELECT sp.doc_id, b, d.text[lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) + 1:b] || '<' || label || '>' || sp.body || '</' || label || '>' AS piece, e FROM sp JOIN documents d USING (doc_id)),
         tg AS (SELECT doc_id, string_agg(piece, '' ORDER BY b) AS t, max(e) AS last FROM pc GROUP BY doc_id),
         tx AS (SELECT d.doc_id, coalesce(t, '') || substr(text, coalesce(last, 0) + 1) AS t FROM documents d LEFT JOIN tg USING (doc_id)),

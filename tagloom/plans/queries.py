@@ -13,7 +13,7 @@ from ..functions import labels as L
 from ..functions import spans as S
 from ..functions import text as X
 from ..functions.sampling import draw
-from ..operators import autopsy, converters, decode, jobs, mixture, reward, scoring
+from ..operators import autopsy, converters, decode, jobs, mixture, probes, reward, scoring
 from ..operators.tagger import rule_spans
 from ..sources.files import first_rows, scan_parquet, union_sources
 from ..streaming import serve
@@ -384,6 +384,19 @@ def emitted_limit(spark, sf_dir):
     return mixture.examples(_planned(spark, sf_dir, 1), "eval", 3).select("row_id", "source")
 
 
+def containment_negatives(spark, sf_dir):
+    """Requests for absent labels beside present ones, along the chains of the vocabulary."""
+    n = probes.containment_negatives(_sparse(spark, sf_dir), L.CHAINS, mixture.SEED_V2)
+    return n.select("row_id", "chain", "asked", F.md5(F.get("messages", F.lit(1))["content"].cast("binary")).alias("user_md5"))
+
+
+def probe_axes(spark, sf_dir):
+    """Scores by axis; every tenth row is without an axis."""
+    axis = F.when(F.col("doc_id") % 10 != 0, F.concat(F.lit("axis"), (F.col("doc_id") % 3).cast("string")))
+    axes = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), axis.alias("axis"))
+    return _rounded(probes.by_axis(_parsed(spark, sf_dir), axes))
+
+
 # batch jobs
 
 
@@ -496,6 +509,6 @@ QUERIES = {f.__name__: f for f in (
     lang_slice, first_n_scan, upsample_union, hash_sample_cap, spans_found, inject_tagged, parse_roundtrip, parse_faults, overlap_reject, min_len_filter, present_labels, faithfulness, context_snippets,
     offset_validation, conversion_counters, label_frequency, skip_reasons, literal_spans, date_repair, canonical_labels, positional_join, exact_match_counts, relaxed_match_counts, ops_counters, micro_prf,
     prf_by_label, prf_by_source, scorer_self_test, autopsy_counts, autopsy_topk, reward_scores, think_strip_a, think_strip_b, think_strip_c, think_gate, names_normalise, request_roundtrip, output_budgets, chat_triples,
-    request_plan_v1, request_plan_v2, alias_pick, negative_cap, mixture_v1, mixture_v2, mixture_stats, emitted_limit, job_adjudicate, job_audit, job_aliases, job_synthesis, job_cost, job_cost_by_model, job_trim,
+    request_plan_v1, request_plan_v2, alias_pick, negative_cap, mixture_v1, mixture_v2, mixture_stats, emitted_limit, containment_negatives, probe_axes, job_adjudicate, job_audit, job_aliases, job_synthesis, job_cost, job_cost_by_model, job_trim,
     job_trim_mixed, usage_totals, corrected_gold, prefix_tokens, automaton_state, allowed_tokens, tag_requests,
 )}
