@@ -11,11 +11,13 @@ every document into every region. The join therefore starts from regions that no
    share one are their cells. Regions are the connected parts of documents and cells.
 3. Each region is joined exactly and recursively. Pivots create Voronoi regions; a document also goes to every region
    whose pivot is at most twice the distance threshold further than its nearest, and no link can then be
-   missed. Where the windows hold everything, pivots are settled one by one and the
+   missed. Where the windows hold everything, pivots are settled one by one in a small region; in a larger one members are
+   ordered by their distance to a pivot and compared in tiles, as bits. In both the
    triangle inequality skips pairs whose distances to a settled pivot differ by more than the threshold.
 4. A region whose sets exceed max_region_bytes or max_region_sets, such as a hot group of near copies, is not gathered: pivots are
    measured against salted parts of it and deal it into Voronoi regions with windows, which go on recursively; a
-   region whose members are known to be one component is done.
+   region whose members are known to be one component is done. Where the windows hold nearly everything, each two salted
+   blocks of the region meet in a task of their own, so one round ends it.
 
 Only connectivity is kept, never all pairs of a group.
 """
@@ -173,9 +175,11 @@ class Region:
                 d = np.stack([self.distances(int(p), region) for p in chosen])
                 near = d.min(0)
                 parts = [region[d[j] - near <= 2 * eps] for j in range(len(chosen))]  # home, or within the window
-                if max(map(len, parts)) <= 0.7 * len(region):
+                if sum(len(x) ** 2 for x in parts) <= 0.5 * len(region) ** 2:  # fewer pairs, and each part at most 0.71 of the region
                     todo += parts
-                    continue
+                else:
+                    self.cross(region, region, eps)
+                continue
             self._settle(region, eps)
 
     def _settle(self, region: np.ndarray, eps: float) -> None:
@@ -193,6 +197,62 @@ class Region:
                 d[rest] = self.distances(int(region[i]), region[rest])
                 seen = [*seen[-3:], d]
 
+    def _bits(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles that more than a 32nd of members have, as words of 64 bits by word and member; and each member's number of other shared ones."""
+        n = len(members)
+        of = np.repeat(np.arange(n), self.size[members])
+        _, which, count = np.unique(np.concatenate([self.sets[m] for m in members]), return_inverse=True, return_counts=True)
+        many = count > max(1, n // 32)
+        rest = np.bincount(of[((count > 1) & ~many)[which]], minlength=n)
+        hit = many[which]
+        column = (np.cumsum(many) - 1)[which[hit]]
+        words = -(-int(many.sum()) // 64)
+        bits = np.zeros(words * n, np.uint64)
+        np.bitwise_or.at(bits, (column >> 6) * n + of[hit], np.uint64(1) << (column & 63).astype(np.uint64))
+        return bits.reshape(words, n), rest
+
+    def cross(self, rows: np.ndarray, cols: np.ndarray, eps: float) -> None:
+        """Find every link of rows with cols that connects two components; rows may be cols, and then each pair is met once.
+
+        Both are ordered by their distance to a pivot, and a tile of rows meets the columns that triangles allow. The bits give
+        an intersection's size but for shingles that few members have: enough without them is a link, too few with all of them none,
+        and only pairs between are measured.
+        """
+        alike = rows is cols
+        members = rows if alike else np.concatenate((rows, cols))
+        d = self.distances(int(members[0]), members)
+        _, label = np.unique([self.find(m) for m in members.tolist()], return_inverse=True)
+        if not label.any():
+            return
+        bits, rest = self._bits(members)
+        size = self.size[members]
+        a_all, b_all = np.arange(len(rows)), np.arange(0 if alike else len(rows), len(members))
+        a_all, b_all = (x[np.argsort(d[x], kind="stable")] for x in (a_all, b_all))
+        tile = max(1, min(256, 2_000_000 // len(b_all)))
+        for at in range(0, len(a_all), tile):
+            a = a_all[at : at + tile]
+            low, high = np.searchsorted(d[b_all], d[a[0]] - eps), np.searchsorted(d[b_all], d[a[-1]] + eps, "right")
+            b = b_all[max(low, at) if alike else low : high]
+            both = np.zeros((len(a), len(b)), np.int32)
+            for word in bits:
+                both += np.bitwise_count(word[a][:, None] & word[b])
+            need = -(-self.percent * (size[a][:, None] + size[b]) // (100 + self.percent))
+            may = (both + np.minimum(rest[a][:, None], rest[b]) >= need) & (label[a][:, None] != label[b])
+            for k in np.flatnonzero(may.any(1)).tolist():
+                for sure in (True, False):
+                    to = b[may[k] & ((both[k] >= need[k]) == sure)]
+                    to = to[label[to] != label[a[k]]]
+                    if len(to) and not sure:
+                        to = to[self.distances(int(members[a[k]]), members[to]) <= eps]
+                    if len(to):
+                        joined = np.zeros(len(members), bool)
+                        joined[label[to]] = True
+                        label[joined[label]] = label[a[k]]
+        first: dict[int, int] = {}
+        for m, at in zip(members.tolist(), label.tolist(), strict=True):
+            x, y = self.find(first.setdefault(at, m)), self.find(m)
+            self.parent[max(x, y)] = min(x, y)
+
 
 def _join_region(members: pa.Table, percent: int) -> pa.Table:
     """Each member and the smallest node of its component; the same whatever the order of the rows."""
@@ -205,6 +265,23 @@ def _join_region(members: pa.Table, percent: int) -> pa.Table:
     return table("a bigint, b bigint", a=nodes[order], b=nodes[order][root])
 
 
+def _join_blocks(members: pa.Table, percent: int) -> pa.Table:
+    """Edges between components of two blocks of a region (columns i, j, salt, node, component, grams) that a link of their members connects."""
+    members = members.sort_by("node")
+    nodes, salt = members.column("node").to_numpy(), members.column("salt").to_numpy()
+    i, j = members.column("i")[0].as_py(), members.column("j")[0].as_py()
+    r = Region([np.frombuffer(x, np.uint64) for x in members.column("grams").to_pylist()], percent)
+    _, first, known = np.unique(members.column("component").to_numpy(), return_index=True, return_inverse=True)
+    r.parent = first[known].tolist()
+    rows = np.flatnonzero(salt == i)
+    cols = rows if i == j else np.flatnonzero(salt == j)
+    if len(rows) and len(cols):
+        r.cross(rows, cols, 1.0 - percent / 100 + 1e-9)
+    root = np.array([r.find(k) for k in first.tolist()])
+    new = root != first
+    return table("a bigint, b bigint", a=nodes[first[new]], b=nodes[root[new]])
+
+
 _MEASURED = "region bigint, node bigint, links array<bigint>, goes array<bigint>, far boolean"
 
 
@@ -245,8 +322,8 @@ def _split_regions(members: DataFrame, percent: int, most_bytes: int, most_membe
     """Links of regions (columns region, node, grams) by distributed recursion; small ones are joined in a task each.
 
     A round measures a region's members, in salted parts, against its pivots. Links found merge components; the regions of the
-    next round are the Voronoi regions with their windows and the far members, or all of a region but its settled pivots where windows
-    hold nearly everything. A region of a single component is done. Pivots leave in each round, so the rounds end.
+    next round are the Voronoi regions with their windows and the far members, each smaller by a share, so the rounds end. Where windows
+    hold nearly everything, each two blocks of the region are joined in a task, and it is done. So is a region of a single component.
     """
     links = members.sparkSession.createDataFrame([], "a bigint, b bigint")
     where = cut_round(members.select("node").distinct().withColumn("component", F.col("node")))
@@ -279,8 +356,14 @@ def _split_regions(members: DataFrame, percent: int, most_bytes: int, most_membe
         spreads = dealt.groupBy("region", "to").agg(F.count(F.lit(1)).alias("k")).groupBy("region").agg(F.max("k").alias("most"), F.sum("k").alias("all"))
         splits = cut_round(large.join(spreads, "region", "left").select("region", F.coalesce((F.col("most") <= 0.7 * F.col("n")) & (F.col("all") <= 3 * F.col("n")), F.lit(True)).alias("splits")))
         apart = dealt.join(splits.where("splits"), "region", "left_semi").select(F.xxhash64("region", "to").alias("region"), "node")
-        whole = measured.join(splits.where("not splits"), "region", "left_semi").join(pick.select("region", "node"), ["region", "node"], "left_anti").select("region", "node")
-        following = cut_round(apart.union(whole).join(where, "node"))
+        # two blocks meet in a task, and hold together what a region that is gathered may hold
+        blocks = F.greatest(F.ceil(2 * F.col("bytes") / most_bytes), F.ceil(2 * F.col("n") / most_members)).cast("int")
+        whole = members.join(large.join(splits.where("not splits"), "region").select("region", blocks.alias("blocks")), "region").join(where, "node")
+        salted = whole.withColumn("salt", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks").cast("bigint")).cast("int"))
+        met = salted.select("region", "salt", "node", "component", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+        met = met.withColumn("i", F.least("salt", "k")).withColumn("j", F.greatest("salt", "k")).drop("k")
+        links = links.union(cut_round(met.groupBy("region", "i", "j").applyInArrow(lambda t: _join_blocks(t, percent), "a bigint, b bigint")))
+        following = cut_round(apart.join(where, "node"))
         open_ = following.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
         members = following.join(open_, "region", "left_semi").select("region", "node").join(grams_of, "node").select("region", "node", "grams")
 

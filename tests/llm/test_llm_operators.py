@@ -571,6 +571,46 @@ def test_large_regions(spark, sets, pivots):
     assert by(tuple(r) for r in got.collect()) == brute.components(rows)
 
 
+def hot_group(n, seed=4):
+    """Copies of one text with few to many edits: most link through some, many with none, and no pivot tells them apart."""
+    rng = random.Random(seed)
+    start = passage(11, 120).split()
+    rows = []
+    for k in range(n):
+        words = list(start)
+        for at in rng.sample(range(120), rng.choice((1, 2, 3, 4, 5))):
+            words[at] = rng.choice(start) if rng.random() < 0.3 else passage(rng.random(), 1)
+        rows.append((k, " ".join(words)))
+    return rows
+
+
+def test_a_hot_group_takes_one_round(spark, monkeypatch):
+    """Rounds that settle a few pivots each would be as many as the group is large."""
+    rows = hot_group(300)
+    whole, rounds = jaccard_join.components, []
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: rounds.append(1) or whole(edges))
+    got = jaccard_join.link_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), max_region_sets=90, pivots=4)
+    got = by(tuple(r) for r in got.collect())
+    assert len(rounds) <= 4, len(rounds)
+    assert got == brute.components(rows)
+
+
+def test_tiles_measure_few_pairs():
+    sets = [np.unique(grams(word_hashes(t.encode().split()), 5)) for _, t in hot_group(700)]
+    want = jaccard_join.Region(sets, 75)
+    for i in range(len(sets)):
+        want.distances(i, np.arange(i, len(sets)))
+    r = jaccard_join.Region(sets, 75)
+    r.join(np.arange(len(sets)))
+    roots = [want.find(i) for i in range(len(sets))]
+    assert [r.find(i) for i in range(len(sets))] == roots and r.measured < len(sets) ** 2 / 10
+    # each two blocks on their own, in any order
+    parts, split = np.array_split(np.random.default_rng(2).permutation(len(sets)), 4), jaccard_join.Region(sets, 75)
+    for i, j in [(3, 0), (1, 1), (2, 3), (0, 0), (1, 0), (3, 3), (2, 1), (0, 2), (2, 2), (1, 3)]:
+        split.cross(parts[i], parts[j], 0.25 + 1e-9)
+    assert [split.find(i) for i in range(len(sets))] == roots
+
+
 def test_voronoi_windows_lose_no_link():
     """Whatever the pivots, two linked members meet: one is a pivot, or both go to one region, or both are far."""
     import pyarrow as pa
