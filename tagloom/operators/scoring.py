@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions import spans as S
 from ..functions import text as X
 from ..functions.labels import canonical
+from ..functions.sliced import sliced
 
 
 def positional_join(gold: DataFrame, pred: DataFrame, key: str = "row_id") -> DataFrame:
@@ -36,10 +36,11 @@ def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
 def parsed_rows(rows: DataFrame, maps: dict) -> DataFrame:
     """row_id, source, text, bad (null, malformed or copy_drift), gold and pred (canonical spans) from row_id, source, messages, output.
 
-    A gold row that does not parse raises when it is read, as a broken gold file should.
+    A gold row that does not parse raises when it is read, as a broken gold file should. A null output parses as an empty one; output goes to the
+    parser as it is, so where it is the target itself one parse serves both.
     """
     user, target = F.get("messages", F.lit(1))["content"], F.get("messages", F.lit(2))["content"]
-    a = rows.select("row_id", F.col("source"), X.request_text(user).alias("text"), X.request_names(user).alias("names"), target.alias("target"), F.coalesce("output", F.lit("")).alias("output"))
+    a = rows.select("row_id", F.col("source"), X.request_text(user).alias("text"), X.request_names(user).alias("names"), target.alias("target"), "output")
     b = a.withColumn("g", S.parse("target", "names")).withColumn("p", S.parse("output", "names"))
     name = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), canonical(F.col("source"), s["label"], maps).alias("label"))
     bad = F.when(F.col("p.reason").isNotNull(), F.lit("malformed")).when(F.col("p.text") != F.col("text"), F.lit("copy_drift"))
@@ -51,8 +52,8 @@ _COUNTS = [T.StructField(c, T.LongType()) for c in ("tp", "fp", "fn")]
 _TALLY = T.StructType([T.StructField("labels", T.ArrayType(T.StructType([T.StructField("label", T.StringType()), *_COUNTS]))), T.StructField("relaxed", T.LongType())])
 
 
-@F.pandas_udf(_TALLY)
-def _tally(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
+@sliced(_TALLY)
+def _tally(gold, pred):
     """Of each row: exact multiset matches by label, in order of appearance, and the number of relaxed ones."""
 
     def labels(gold, pred):
@@ -65,7 +66,7 @@ def _tally(gold: pd.Series, pred: pd.Series) -> pd.DataFrame:
         return [{"label": label, "tp": tp, "fp": fp, "fn": fn} for label, (tp, fp, fn) in out.items()]
 
     pairs = [[x if x is not None else () for x in pair] for pair in zip(gold, pred, strict=True)]
-    return pd.DataFrame({"labels": [labels(*x) for x in pairs], "relaxed": [S.relaxed_count(*x) for x in pairs]})
+    return [{"labels": labels(*x), "relaxed": S.relaxed_count(*x)} for x in pairs]
 
 
 def tallied(parsed: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.sliced import sliced
 
 # ASCII patterns without word boundaries, first match wins; they read alike in Python, Java and RE2.
 PATTERNS = {
@@ -22,10 +22,10 @@ ANY = "|".join(PATTERNS.values())
 _groups = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 
 
-@F.pandas_udf(schemas.SPANS_TYPE)
-def rule_spans(text: pd.Series) -> pd.Series:
+@sliced(schemas.SPANS_TYPE)
+def rule_spans(text):
     """Spans of every pattern in the whole text, leftmost first."""
-    return pd.Series([[{"start": m.start(), "end": m.end(), "label": m.lastgroup} for m in _groups.finditer(t or "")] for t in text])
+    return [[{"start": m.start(), "end": m.end(), "label": m.lastgroup} for m in _groups.finditer(t or "")] for t in text]
 
 
 def label_of(body: Column) -> Column:
