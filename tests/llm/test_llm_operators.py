@@ -595,6 +595,21 @@ def test_a_hot_group_takes_one_round(spark, monkeypatch):
     assert got == brute.components(rows)
 
 
+def test_pipeline_stage_on_a_hot_group(spark, monkeypatch):
+    import functools
+
+    import corpus_pipeline
+
+    rows, rounds = hot_group(300), []
+    whole, link = jaccard_join.components, jaccard_join.link_documents
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: rounds.append(1) or whole(edges))
+    monkeypatch.setattr(jaccard_join, "link_documents", functools.partial(link, max_region_sets=90, pivots=4))
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert len(rounds) <= 4
+    assert got == sorted({x[-1] for x in brute.components(rows)})
+
+
 def test_tiles_measure_few_pairs():
     sets = [np.unique(grams(word_hashes(t.encode().split()), 5)) for _, t in hot_group(700)]
     want = jaccard_join.Region(sets, 75)
